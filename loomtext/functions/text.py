@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"(?U:[\s\x1c-\x1f])"
 WORD = r"[\p{L}\p{N}_]"
@@ -45,7 +46,7 @@ def normalize(s: str | None) -> str | None:
     return None if s is None else " ".join(unicodedata.normalize("NFKC", s).casefold().split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text(s: pd.Series) -> pd.Series:
     return s.map(normalize, na_action="ignore")
 
@@ -55,7 +56,7 @@ def _fold(s: str) -> str:
     return "".join(ch for ch in s if not unicodedata.combining(ch)).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Drops hyphens, apostrophes and accents; lower case."""
     return s.map(_fold, na_action="ignore")
@@ -66,13 +67,13 @@ def _align_key(s: str) -> str:
     return "".join(ch for ch in s if "a" <= ch <= "z")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def align_key(s: pd.Series) -> pd.Series:
     """Only the letters a to z that remain after accents are taken off."""
     return s.map(_align_key, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def py_round4(s: pd.Series) -> pd.Series:
     """Rounds the exact binary value, half to even, to four places."""
     return s.map(lambda x: round(x, 4), na_action="ignore")
