@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import clusters, groupsplit, leak, mixture
+from . import clusters, groupsplit, leak, mixture, overlap
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +21,16 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.split_report(p3_splits(spark, d), table(spark, d, "smol_target"), table(spark, d, "split_targets"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlap.cross_split_overlaps(table(spark, d, "smol_test"), table(spark, d, "lin_smol"))
+    return pairs.select(F.col("eval_row_id").alias("test_row_id"), F.col("train_row_id").alias("lin_row_id"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    test, lin = table(spark, d, "smol_test"), table(spark, d, "lin_smol")
+    return overlap.overlap_report(overlap.cross_split_overlaps(test, lin), test, lin)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.consolidate(table(spark, d, "group_matches"))
 
@@ -40,7 +51,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_report, p5_found, p5_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares)}
 
 _ID = r"nullif(regexp_replace(regexp_replace(lower({0}), '^[\s\p{{Z}}\x1c-\x1f\x85]+', ''), '[\s\p{{Z}}\x1c-\x1f\x85]+$', ''), '')"
 ORACLES = {
