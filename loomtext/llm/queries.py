@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import align, clusters, groupsplit, leak, mixture, overlap
+from . import align, clusters, groupsplit, leak, mixture, ocr, overlap
 
 
 def p1_links(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_links(spark, d).select("id", "src_index", "trg_index")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.damage(ocr.examine(table(spark, d, "proverbs_ocr")))
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repaired(ocr.examine(table(spark, d, "proverbs_ocr")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.tied_rows(table(spark, d, "smol_target"))
 
@@ -59,7 +67,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p3_splits, p3_report, p5_found, p5_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_text, p3_found, p3_splits, p3_report, p5_found, p5_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares)}
 
 _ID = r"nullif(regexp_replace(regexp_replace(lower({0}), '^[\s\p{{Z}}\x1c-\x1f\x85]+', ''), '[\s\p{{Z}}\x1c-\x1f\x85]+$', ''), '')"
 ORACLES = {
