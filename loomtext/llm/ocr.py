@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 # fixed values: what scanners read, and what stood there
-MISREAD = [("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("li", "h"), ("1i", "h"), ("c1", "d"), ("vv", "w"), ("rri", "m"), ("q", "g"), ("c", "e"), ("1", "l"), ("0", "o"), ("6", "b"), ("6", "é"), ("†", "t"), ("5", "s"), ("ﬁ", "fi"), ("ﬂ", "fl")]
+MISREAD = [("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("d", "el"), ("di", "ch"), ("li", "h"), ("1i", "h"), ("c1", "d"), ("vv", "w"), ("rri", "m"), ("q", "g"), ("c", "e"), ("1", "l"), ("0", "o"), ("6", "b"), ("6", "é"), ("†", "t"), ("5", "s"), ("ﬁ", "fi"), ("ﬂ", "fl")]
 MISREAD_FIRST = [("l", "i"), ("g", "c")]
 MISREAD_CAPITALS = [("8", "b"), ("2", "z"), ("5", "s"), ("0", "o"), ("6", "g"), ("1", "i"), ("l", "i"), ("li", "u"), ("ii", "n"), ("ivi", "m"), ("f", "e")]
 ACCENTS = ["aàáâãäå", "eèéêë", "iìíîï", "oòóôõö", "uùúûü", "cç", "nñ"]
@@ -114,6 +114,8 @@ def split_marks(line: str) -> tuple[str, str]:
 
 def _plainly_wrong(raw: str, capitals: bool) -> list[int]:
     """Positions of characters that no word of letters holds."""
+    if raw == "0":
+        return [0]
     if not re.search(r"[^\W\d_]", raw.replace("†", "")):
         return [i for i, ch in enumerate(raw) if ch == "†"]
     bad = [i for i, ch in enumerate(raw) if ch.isdigit() or ch == "†" or "ﬀ" <= ch <= "ﬆ"]
@@ -242,11 +244,11 @@ def misreadings(word: str, true: str, capitals: bool, most: int = 4) -> list[tup
     return best
 
 
-def _likely(word: str, n: int, true: str, m: int, ops: list[tuple[int, bool]]) -> bool:
+def _likely(word: str, n: int, true: str, m: int, ops: list[tuple[int, bool]], name: bool) -> bool:
     """Whether ``true``, seen ``m`` times, is what ``word``, seen ``n`` times, should be."""
     if all(accent for _, accent in ops):
-        return m >= (40 if len(word) <= 3 else 12) * n and m >= (20 if len(word) <= 3 else 5)
-    return m >= (15 if len(word) <= 2 else 6) * n and m >= 4
+        return m >= (40 if len(word) <= 2 else 12) * n and m >= (20 if len(word) <= 3 else 5)
+    return m >= 2 * n if name else m >= (15 if len(word) <= 2 else 6) * n and m >= 4
 
 
 def _trigrams(word: str) -> list[str]:
@@ -256,17 +258,16 @@ def _trigrams(word: str) -> list[str]:
 
 def rebuilt(word: str, seen: dict[str, int], capitals: bool) -> tuple[str, list[tuple[int, bool]]] | None:
     """For a word without a frequent variant: the repair that turns its unheard-of letter groups into usual ones."""
-    def worst(w: str) -> int:
-        return min((seen.get(g, 0) for g in _trigrams(w)), default=0)
-
-    own, best = worst(word), None
+    own, best = set(_trigrams(word)), None
     for a, b in _pairs(capitals):
         at = word.find(a)
         while at >= 0:
             v = word[:at] + b + word[at + len(a) :]
-            w = worst(v)
-            if w >= 25 * max(1, own) and (best is None or w > best[2]):
-                best = (v, [(at, False)], w)
+            new = set(_trigrams(v))
+            was = min((seen.get(g, 0) for g in own - new), default=0)
+            now = min((seen.get(g, 0) for g in new - own), default=0)
+            if now >= 8 * max(1, was) and (best is None or now > best[2]):
+                best = (v, [(at, False)], now)
             at = word.find(a, at + 1)
     return best[:2] if best else None
 
@@ -304,8 +305,9 @@ def examine(scans: DataFrame, rec_id: str = "rec_id", headword: str = "kikongo",
     tokens = materialize(entries.mapInPandas(read, schema))
     own = tokens.where("word is not null and length(word) between 2 and 40")
     # a headword's words also count as words of the body, where the same language is quoted
-    words = own.select("word", "capitals").union(own.where("capitals").select("word", F.lit(False)))
-    vocab = materialize(words.groupBy("word", "capitals").agg(F.count("*").alias("n")))
+    large = F.col("raw").rlike(r"^\p{Lu}")
+    words = own.select("word", "capitals", large.alias("large")).union(own.where("capitals").select("word", F.lit(False), F.lit(False)))
+    vocab = materialize(words.groupBy("word", "capitals").agg(F.count("*").alias("n"), F.min("large").alias("name")))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def variants(w: pd.Series, c: pd.Series) -> pd.Series:
@@ -316,24 +318,25 @@ def examine(scans: DataFrame, rec_id: str = "rec_id", headword: str = "kikongo",
         return w.map(anagram_hash).astype("int64")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def explain(w: pd.Series, n: pd.Series, v: pd.Series, m: pd.Series, c: pd.Series) -> pd.Series:
+    def explain(w: pd.Series, n: pd.Series, v: pd.Series, m: pd.Series, c: pd.Series, names: pd.Series) -> pd.Series:
         out = []
-        for word, k, true, count, cap in zip(w, n, v, m, c):
+        for word, k, true, count, cap, name in zip(w, n, v, m, c, names):
             ops = misreadings(word, true, cap)
-            out.append([at for at, _ in ops] if ops and _likely(word, k, true, count, ops) else None)
+            out.append([at for at, _ in ops] if ops and _likely(word, k, true, count, ops, name) else None)
         return pd.Series(out)
 
-    rare = vocab.where("not word rlike '^[0-9]+$'").select("word", "capitals", "n", F.explode(variants("word", "capitals")).alias("h"))
-    frequent = vocab.where("n >= 4 and not word rlike '[0-9†]'").select(F.col("word").alias("true"), "capitals", F.col("n").alias("m"), hashed("word").alias("h"))
-    met = rare.join(frequent, ["h", "capitals"]).where("m >= 6 * n").select("word", "capitals", "n", "true", "m").distinct()
-    fit = met.withColumn("at", explain("word", "n", "true", "m", "capitals")).where("at is not null")
-    rank = Window.partitionBy("word", "capitals").orderBy(F.size("at"), F.desc("m"), "true")
+    rare = vocab.where("not word rlike '^[0-9]+$'").select("word", "capitals", "n", "name", F.explode(variants("word", "capitals")).alias("h"))
+    frequent = vocab.where("n >= 2 and not word rlike '[0-9†]'").select(F.col("word").alias("true"), "capitals", F.col("n").alias("m"), hashed("word").alias("h"))
+    met = rare.join(frequent, ["h", "capitals"]).where("m >= if(name, 2, 6) * n").select("word", "capitals", "n", "name", "true", "m").distinct()
+    fit = met.withColumn("at", explain("word", "n", "true", "m", "capitals", "name")).where("at is not null")
+    rank = Window.partitionBy("word", "capitals").orderBy(F.desc(F.col("m") * F.pow(F.lit(0.2), F.size("at"))), "true")
     joined = fit.withColumn("r", F.row_number().over(rank)).where("r = 1").select("word", "capitals", "true", "at")
     joined = materialize(joined)
-    # words without such a variant, mostly names: judged by the letter groups of all different words
+    # names (words never seen in small letters) without such a variant: judged by the letter groups of all names
     seen = {}
-    grams = vocab.where("length(word) >= 4 and not word rlike '[0-9†]'").select("capitals", "word").distinct()
-    grams = grams.select("capitals", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(word)), i -> substring(concat('^', word, '$'), i, 3))"))).alias("g")).groupBy("capitals", "g").agg(F.count("*").alias("n"))
+    named = vocab.where("name and length(word) >= 4 and not word rlike '[0-9†]'")
+    grams = named
+    grams = grams.select("capitals", "n", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(word)), i -> substring(concat('^', word, '$'), i, 3))"))).alias("g")).groupBy("capitals", "g").agg(F.sum("n").alias("n"))
     for r in grams.limit(1_000_000).toLocalIterator():
         seen.setdefault(r["capitals"], {})[r["g"]] = r["n"]
     known = scans.sparkSession.sparkContext.broadcast(seen)
@@ -347,7 +350,7 @@ def examine(scans: DataFrame, rec_id: str = "rec_id", headword: str = "kikongo",
                     out.append((word, cap, got[0], [at for at, _ in got[1]]))
             yield pd.DataFrame(out, columns=["word", "capitals", "true", "at"])
 
-    left = vocab.where("length(word) >= 4 and not word rlike '[0-9†]'").join(joined.select("word", "capitals"), ["word", "capitals"], "left_anti")
+    left = named.join(joined.select("word", "capitals"), ["word", "capitals"], "left_anti")
     corrections = materialize(joined.union(left.select("word", "capitals").mapInPandas(rebuild, joined.schema)))
     return Scanned(entries, headers, tokens, corrections)
 
