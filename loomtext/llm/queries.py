@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import align, clusters, groupsplit, leak, mixture, ocr, overlap
+from . import align, clusters, groupsplit, langid, leak, mixture, ocr, overlap
 
 
 def p1_links(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +37,22 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.split_report(p3_splits(spark, d), table(spark, d, "smol_target"), table(spark, d, "split_targets"))
 
 
+def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return langid.segments_of_both(*(table(spark, d, t) for t in ("lin_smol", "proverbs_ocr", "lexicons", "flores_devtest")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, lines = _segments(spark, d)
+    cols = ["rec_id", "seg_no", "lang"]
+    found = langid.doubtful(rows).select(F.lit("lin_smol").alias("tbl"), *cols)
+    return found.union(lines.select(F.lit("proverbs_ocr").alias("tbl"), *cols))
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    rows, lines = _segments(spark, d)
+    return langid.document_languages(rows).select(F.lit("lin_smol").alias("tbl"), "*").union(langid.document_languages(lines).select(F.lit("proverbs_ocr").alias("tbl"), "*"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = overlap.cross_split_overlaps(table(spark, d, "smol_test"), table(spark, d, "lin_smol"))
     return pairs.select(F.col("eval_row_id").alias("test_row_id"), F.col("train_row_id").alias("lin_row_id"))
@@ -67,7 +83,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_text, p3_found, p3_splits, p3_report, p5_found, p5_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_text, p3_found, p3_splits, p3_report, p4_found, p4_records, p5_found, p5_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares)}
 
 _ID = r"nullif(regexp_replace(regexp_replace(lower({0}), '^[\s\p{{Z}}\x1c-\x1f\x85]+', ''), '[\s\p{{Z}}\x1c-\x1f\x85]+$', ''), '')"
 ORACLES = {
