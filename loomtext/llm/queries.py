@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import align, clusters, groupsplit, langid, leak, mixture, ocr, overlap
+from . import align, clusters, groupsplit, langid, leak, mixture, ocr, overlap, subjects
 
 
 def p1_links(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_text, p3_found, p3_splits, p3_report, p4_found, p4_records, p5_found, p5_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "doc_subjects"))
+
+
+def p9_topics(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.topic_terms(table(spark, d, "documents"), table(spark, d, "doc_subjects"))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(p9_found(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_text, p3_found, p3_splits, p3_report, p4_found, p4_records, p5_found, p5_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_topics, p9_composition)}
 
 _ID = r"nullif(regexp_replace(regexp_replace(lower({0}), '^[\s\p{{Z}}\x1c-\x1f\x85]+', ''), '[\s\p{{Z}}\x1c-\x1f\x85]+$', ''), '')"
 ORACLES = {
