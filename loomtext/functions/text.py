@@ -88,5 +88,12 @@ def tidy(c: Column | str) -> Column:
     """Collapses white space, strips gutter marks at the start and the space before punctuation."""
     c = F.col(c) if isinstance(c, str) else c
     c = strip(F.regexp_replace(c, f"{SPACE}+", " "))
-    c = F.regexp_replace(c, r"^(?:[|¦!_~:;,.\-—–'‘’`*·](?: |$))+", "")
-    return F.regexp_replace(c, r" ([,.;:!?])", "$1")
+    c = F.regexp_replace(c, r"^[|`'’\"~*_.,:;\- ]+", "")
+    return strip(F.regexp_replace(c, r" +([.,;:!?])", "$1"))
+
+
+def split_lines(c: Column | str) -> Column:
+    """Lines of a text at every Unicode line break; one trailing empty line is dropped."""
+    c = F.col(c) if isinstance(c, str) else c
+    breaks = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+    return F.split(F.regexp_replace(c, rf"(?:{breaks})\z", ""), breaks)
