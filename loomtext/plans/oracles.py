@@ -1 +1,129 @@
-ORACLES = {}
+"""The same results in SQL, over tables of the same names."""
+
+from __future__ import annotations
+
+_WS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def _id(c: str) -> str:
+    return f"nullif({_strip(f'lower({c})')}, '')"
+
+
+def _norm(c: str) -> str:
+    """NFKC and case folding as far as these tables need them: composition, full-width forms, ligatures, ß."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94))
+    plain = "".join(chr(0x21 + i) for i in range(94))
+    t = f"translate(nfc_normalize({c}), '{wide.replace(chr(39), chr(39) * 2)}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("…", "..."), ("ß", "ss")):
+        t = f"replace({t}, '{a}', '{b}')"
+    return _strip(f"regexp_replace(lower({t}), '{_WS}+', ' ', 'g')")
+
+
+_TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def _tok(c: str) -> str:
+    return _TOK.format(c=c)
+
+
+_PAIRS = "SELECT row_id AS ordinal, src, trg, origin, document_id FROM lin_smol"
+_CORPORA = " UNION ALL ".join(f"SELECT '{t}.{c}' AS corpus, {c} AS text FROM {t}" for t, c in (("smol_target", "trg"), ("smol_test", "trg"), ("lin_smol", "trg"), ("lin_smol", "src"), ("smol_test", "src")))
+_HELD = f"SELECT DISTINCT {_norm('src')} AS norm FROM smol_test WHERE src IS NOT NULL AND {_norm('src')} <> ''"
+_VOCAB = f"SELECT DISTINCT corpus, form FROM (SELECT corpus, unnest({_tok('text')}) AS form FROM ({_CORPORA})) WHERE length(form) >= 3"
+_FORMS = f"SELECT DISTINCT lexicon, lower({_strip('form')}) AS form FROM lexicons WHERE length({_strip('form')}) >= 3"
+_MODEL = f"""SELECT lang, token, count(*) AS "count", ln((count(*) + 1.0) / (sum(count(*)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang))) AS logp
+  FROM (SELECT lang, unnest({_tok('text')}) AS token FROM flores_devtest WHERE lang IN ('pt', 'fr', 'en')) GROUP BY lang, token"""
+_LIMITS = f"""SELECT ordinal, src, trg FROM (SELECT ordinal, {_strip('src')} AS src, {_strip('trg')} AS trg FROM ({_PAIRS}) WHERE src IS NOT NULL AND trg IS NOT NULL)
+  WHERE length(src) BETWEEN 5 AND 500 AND length(trg) BETWEEN 5 AND 500 AND length(src)::DOUBLE / greatest(length(trg), 1) BETWEEN 1.0 / 3.0 AND 3.0"""
+_CLEAN = f"SELECT * FROM ({_LIMITS}) QUALIFY row_number() OVER (PARTITION BY src ORDER BY ordinal) = 1"
+_MARKERS = {"kituba_tam": "ke|ta|me|vandaka|salaka", "kituba_lex": "munu|nge|beto|sambu|mutindu", "kikongo_lex": "mono|ngeye|yeto|kadi|mpila", "religious": "yezu|yehowa|nzambi|biblia|kristu|mpeve"}
+_TARGET = f"SELECT row_id AS ordinal, src, trg, origin, {_id('document_id')} AS document_id, {_id('group_id')} AS group_id FROM smol_target"
+_STRIDE = "SELECT *, row_number() OVER (ORDER BY ordinal) - 1 AS position, count(*) OVER () AS total FROM ({rows})"
+_SIDES = f"SELECT group_id AS g, 'src' AS side, {_norm('src')} AS n FROM t WHERE group_id IS NOT NULL AND src IS NOT NULL UNION SELECT group_id, 'trg', {_norm('trg')} FROM t WHERE group_id IS NOT NULL AND trg IS NOT NULL"
+
+
+def _stride(rows: str, n: int, cols: str) -> str:
+    return f"""WITH p AS ({_STRIDE.format(rows=rows)}), k AS (SELECT CAST(floor(i * (total::DOUBLE / {n})) AS BIGINT) AS position FROM (SELECT max(total) AS total FROM p), range({n}) r(i) WHERE total > {n})
+      SELECT {cols} FROM p WHERE total <= {n} OR position IN (SELECT position FROM k)"""
+
+
+def _pairwise(values: str, names: str) -> str:
+    return f"""WITH v AS ({values}), n AS ({names}), c AS (SELECT DISTINCT "column" FROM v)
+      SELECT c."column", x.s AS a, y.s AS b, (SELECT count(*) FROM (SELECT v FROM v WHERE v.s = x.s AND v."column" = c."column" INTERSECT SELECT v FROM v WHERE v.s = y.s AND v."column" = c."column")) AS shared
+      FROM n x JOIN n y ON x.s < y.s CROSS JOIN c"""
+
+
+ORACLES = {
+    "clean_pairs": _CLEAN,
+    "dedup_normalized": f"SELECT ordinal, src FROM ({_PAIRS}) WHERE src IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_norm('src')} ORDER BY ordinal) = 1",
+    "ladder_top": f"SELECT ordinal, src FROM ({_PAIRS}) ORDER BY ordinal LIMIT 500",
+    "ladder_stratified": _stride(_PAIRS, 700, "ordinal, src"),
+    "marker_rates": f"""WITH c AS (SELECT corpus, lower(text) AS t FROM ({_CORPORA}) WHERE text IS NOT NULL), m(marker, words) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _MARKERS.items())})
+      SELECT corpus, marker, count(*) FILTER (regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])(' || words || ')($|[^\\p{{L}}\\p{{N}}_])')) AS hits, count(*) AS n,
+        count(*) FILTER (regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])(' || words || ')($|[^\\p{{L}}\\p{{N}}_])'))::DOUBLE / count(*) AS rate FROM c CROSS JOIN m GROUP BY corpus, marker""",
+    "overlap": f"""WITH v AS (SELECT DISTINCT corpus AS c, {_strip('text')} AS t FROM ({_CORPORA}) WHERE text IS NOT NULL), n AS (SELECT c, count(*) AS n FROM v GROUP BY c),
+      s AS (SELECT a.c AS a, b.c AS b, count(*) AS shared FROM v a JOIN v b ON a.t = b.t AND a.c < b.c GROUP BY 1, 2)
+      SELECT x.c AS a, y.c AS b, coalesce(shared, 0) AS shared, coalesce(shared, 0)::DOUBLE / (x.n + y.n - coalesce(shared, 0)) AS jaccard FROM n x JOIN n y ON x.c < y.c LEFT JOIN s ON s.a = x.c AND s.b = y.c""",
+    "lexicon_raw": f"""WITH v AS ({_VOCAB}), f AS ({_FORMS}), g AS (SELECT corpus, lexicon, n_forms FROM (SELECT DISTINCT corpus FROM v) CROSS JOIN (SELECT lexicon, count(*) AS n_forms FROM f GROUP BY lexicon)),
+      h AS (SELECT corpus, lexicon, count(*) AS hits FROM v JOIN f USING (form) GROUP BY 1, 2)
+      SELECT corpus, lexicon, n_forms, coalesce(hits, 0) AS hits, coalesce(hits, 0)::DOUBLE / n_forms AS coverage FROM g LEFT JOIN h USING (corpus, lexicon)""",
+    "lexicon_discriminative": f"""WITH v AS ({_VOCAB}), f AS ({_FORMS}), l AS (SELECT DISTINCT lexicon FROM f), p AS (SELECT x.lexicon AS a, y.lexicon AS b FROM l x JOIN l y ON x.lexicon < y.lexicon),
+      o AS (SELECT a, b, f.form, f.lexicon = a AS side_a FROM p JOIN f ON f.lexicon = a OR f.lexicon = b WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.form = f.form AND g.lexicon <> f.lexicon AND g.lexicon IN (a, b))),
+      s AS (SELECT a, b, count(*) FILTER (side_a) AS only_a, count(*) FILTER (NOT side_a) AS only_b FROM o GROUP BY a, b HAVING count(*) FILTER (side_a) >= 20 AND count(*) FILTER (NOT side_a) >= 20),
+      h AS (SELECT corpus, a, b, count(*) FILTER (side_a) AS ha, count(*) FILTER (NOT side_a) AS hb FROM o JOIN v USING (form) GROUP BY 1, 2, 3),
+      r AS (SELECT corpus, a, b, only_a, only_b, coalesce(ha, 0)::DOUBLE / only_a AS cov_a, coalesce(hb, 0)::DOUBLE / only_b AS cov_b FROM (SELECT DISTINCT corpus FROM v) CROSS JOIN s LEFT JOIN h USING (corpus, a, b))
+      SELECT *, CASE WHEN cov_a > cov_b THEN a ELSE b END AS leans, abs(cov_a - cov_b) AS margin FROM r""",
+    "lang_lm_train": f'SELECT lang, token, "count", round(logp, 6) AS logp FROM ({_MODEL})',
+    "decontaminate": f"""WITH p AS (SELECT *, {_norm('src')} AS norm FROM ({_PAIRS})), h AS ({_HELD}), b AS (SELECT DISTINCT document_id FROM p WHERE document_id IS NOT NULL AND norm IN (SELECT norm FROM h))
+      SELECT ordinal, origin, document_id FROM p WHERE (document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM b)) OR (document_id IS NULL AND (norm IS NULL OR norm NOT IN (SELECT norm FROM h)))""",
+    "review_reviewed": f"SELECT ordinal, src FROM ({_PAIRS}) WHERE src IN (SELECT src FROM smol_test WHERE src IS NOT NULL)",
+    "review_pending": f"SELECT ordinal, src FROM ({_PAIRS}) p WHERE NOT EXISTS (SELECT 1 FROM smol_test t WHERE t.src = p.src)",
+    "leak_report": _pairwise(
+        "SELECT DISTINCT \"column\", s, v FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {s} AS s, {_norm(c)} AS v FROM {t} WHERE {c} IS NOT NULL" for c in ("src", "trg") for t, s in (("lin_smol", "'train'"), ("smol_test", "split"), ("smol_target", "'target'"))) + ") WHERE v <> ''",
+        "SELECT 'train' AS s UNION SELECT 'target' UNION SELECT DISTINCT split FROM smol_test"),
+    "eligible_pool": _stride(f"SELECT ordinal, src, trg FROM (SELECT * FROM ({_CLEAN}) QUALIFY row_number() OVER (PARTITION BY {_norm('src')} ORDER BY ordinal) = 1) WHERE {_norm('src')} NOT IN (SELECT norm FROM ({_HELD}))", 500, "ordinal, src, trg"),
+    "provenance": f"SELECT coalesce(origin, 'unknown') AS origin, count(*) AS n_rows, count(DISTINCT document_id) AS n_documents, count(DISTINCT src) AS n_sources, coalesce(sum(length(src)), 0)::BIGINT AS chars FROM ({_PAIRS}) GROUP BY 1",
+    "components": f"""WITH RECURSIVE t AS ({_TARGET}), k AS (SELECT * FROM ({_SIDES}) WHERE n <> ''), l AS (SELECT DISTINCT x.a, k.g AS b FROM k JOIN (SELECT side, n, min(g) AS a FROM k GROUP BY side, n) x USING (side, n)),
+      e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT group_id, group_id FROM t WHERE group_id IS NOT NULL), r(v, u) AS (SELECT a, b FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+      SELECT v AS group_id, min(u) AS component FROM r GROUP BY v""",
+    "group_sizes": f"SELECT group_id, count(*) AS size, CASE WHEN max(CASE WHEN origin = 'smoldoc' THEN 1 ELSE 0 END) = 1 THEN 'smoldoc' ELSE 'smolsent' END AS kind FROM ({_TARGET}) WHERE group_id IS NOT NULL GROUP BY group_id",
+    "zip_explode": "SELECT id, (i - 1)::INT AS sentence_index, srcs[i] AS src, trgs[i] AS trg FROM (SELECT *, unnest(range(1, len(srcs) + 1)) AS i FROM smoldoc_en_kg WHERE len(srcs) = len(trgs))",
+    "zip_rejected": "SELECT id, len(srcs)::INT AS n_srcs, len(trgs)::INT AS n_trgs FROM smoldoc_en_kg WHERE NOT coalesce(len(srcs) = len(trgs), false)",
+    "explode_lexicon": "SELECT DISTINCT src, unnest(trgs) AS trg FROM gatitos_en_kg",
+    "target_rows": """SELECT src, trg, 'smolsent' AS origin, sentence_id, 'sent:' || sentence_id AS group_id, NULL::VARCHAR AS document_id, NULL::INT AS sentence_index FROM smol_target WHERE origin = 'smolsent' AND sentence_id IS NOT NULL
+      UNION ALL SELECT srcs[i], trgs[i], 'smoldoc', NULL, 'doc:' || id, id, (i - 1)::INT FROM (SELECT *, unnest(range(1, len(srcs) + 1)) AS i FROM smoldoc_en_kg WHERE len(srcs) = len(trgs))""",
+    "lexicon_words": f"SELECT lang, form, count(*) AS n FROM (SELECT lang, unnest({_tok('text')}) AS form FROM flores_devtest) WHERE length(form) >= 3 GROUP BY lang, form HAVING count(*) >= 2",
+    "lang_lm_score": f"""WITH m AS ({_MODEL}), l AS (SELECT row_id AS line_id, src FROM smol_test), w AS (SELECT line_id, unnest({_tok('src')}) AS token FROM l), g AS (SELECT line_id, lang FROM l CROSS JOIN (SELECT DISTINCT lang FROM m)),
+      s AS (SELECT line_id, g.lang, count(*) AS n_tokens, count(logp) AS n_known, sum(coalesce(logp, -12.0)) AS score FROM g JOIN w USING (line_id) LEFT JOIN m ON m.lang = g.lang AND m.token = w.token GROUP BY 1, 2)
+      SELECT line_id, lang, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_known, 0)::BIGINT AS n_known, round(coalesce(score, 0.0), 4) AS score FROM g LEFT JOIN s USING (line_id, lang)""",
+    "run_table": "SELECT split AS run, count(DISTINCT document_id)::DOUBLE AS size_docs, count(*)::DOUBLE AS size_rows FROM smol_test GROUP BY split",
+    "prompts": f"""SELECT row_id, 'translate English to ' || coalesce(CASE {_id('trg_lang')} WHEN 'kg' THEN 'Kikongo' WHEN 'ln' THEN 'Lingala' WHEN 'sw' THEN 'Swahili' ELSE {_id('trg_lang')} END, 'und') || ': ' || {_strip('src')} AS prompt FROM lin_smol""",
+    "row_hashes": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
+}
+
+# lines of a scanned book
+_PAGE = "SELECT ocr_pass AS book, rec_id::INT AS page, concat_ws(chr(10), kikongo, 'Yovo: ' || kikongo_variant, array_to_string(body, chr(10))) AS text FROM proverbs_ocr"
+_LINES = f"""SELECT book, page, no, line FROM (SELECT book, page, (i - 1)::INT AS no, {_strip("regexp_replace(lines[i], '^[ \t-\r]*[|{}\\[\\]<>][ \t-\r]*', '')")} AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT book, page, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS lines FROM ({_PAGE}))))
+  WHERE line <> '' AND NOT regexp_matches(line, '^[\\s|{{}}\\[\\]<>\\\\/_~^`''".,:;!*+=-]*$') AND NOT regexp_matches(line, '^\\s*[0-9]{{1,3}}\\s*$')"""
+_UP = "length(regexp_replace(line, '[^\\p{Lu}]', '', 'g'))"
+_LET = "length(regexp_replace(line, '[^\\p{L}]', '', 'g'))"
+ORACLES |= {
+    "clean_page": _LINES,
+    "headword_lines": f"SELECT * FROM ({_LINES}) WHERE {_LET} >= 8 AND {_UP} >= 0.75 * {_LET}",
+    "dehyphenate": f"""WITH l AS ({_LINES}), m AS (SELECT *, coalesce(suffix(lag(line) OVER w, '-') AND regexp_matches(line, '^\\p{{Ll}}'), false) AS joins FROM l WINDOW w AS (PARTITION BY book, page ORDER BY no)),
+      g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY book, page ORDER BY no) AS island, coalesce(lead(joins) OVER (PARTITION BY book, page ORDER BY no), false) AS cut FROM m)
+      SELECT book, page, min(no)::INT AS no, string_agg(CASE WHEN cut THEN left(line, length(line) - 1) ELSE line END, '' ORDER BY no) AS line FROM g GROUP BY book, page, island""",
+    "align_exact": """WITH p AS (SELECT rec_id AS ordinal, kikongo, ocr_pass, array_to_string(body, ' ') AS pt, regexp_replace(lower(strip_accents(kikongo)), '[^a-z]', '', 'g') AS k FROM proverbs_ocr),
+      n AS (SELECT *, row_number() OVER (PARTITION BY ocr_pass, k ORDER BY ordinal) AS nth FROM p)
+      SELECT a.ordinal, a.kikongo, CASE WHEN b.ordinal IS NOT NULL THEN b.pt ELSE a.pt END AS pt, b.ordinal IS NOT NULL AS matched FROM n a LEFT JOIN n b ON b.ocr_pass = 'por' AND a.k = b.k AND a.nth = b.nth WHERE a.ocr_pass = 'fra_eng'""",
+    "headword_counts": r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+      h AS (SELECT lower(strip_accents(replace(replace(w, '-', ''), '''', ''))) AS form FROM (SELECT regexp_extract(line, '^\s{0,3}([\p{L}\p{Nl}\p{No}][\p{L}\p{N}_''-]{1,30}),', 1) AS w FROM l) WHERE w <> ''),
+      c AS (SELECT form, count(*) AS head FROM h WHERE length(form) >= 3 AND NOT regexp_matches(form, '[^\p{L}]') GROUP BY form),
+      d AS (SELECT lower(strip_accents(w)) AS form FROM (SELECT unnest(regexp_extract_all(lower(substring(line, instr(line, ',') + 1)), '[\p{L}\p{Nl}\p{No}]+')) AS w FROM l WHERE instr(line, ',') > 0)),
+      e AS (SELECT form, count(*) AS def FROM d WHERE length(form) >= 3 GROUP BY form)
+      SELECT form, head, coalesce(def, 0) AS def FROM c LEFT JOIN e USING (form)""".replace("\\\\", "\\").replace("\\'", "'"),
+}
