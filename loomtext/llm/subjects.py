@@ -140,26 +140,31 @@ def fit_topics(bags: DataFrame, labels: DataFrame, background: int = 6, alpha: f
     vocab = bags.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= max(3, n // RARE)).toPandas().sort_values("t", ignore_index=True)
     terms, df = vocab.t.to_numpy(), vocab.df.to_numpy(float)
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), clean_id("subject").alias("subject")).where("subject is not null and doc_id is not null").distinct()
-    seen = lab.join(bags.select("doc_id", "terms"), "doc_id").select("subject", F.explode("terms").alias("t")).groupBy("subject", "t").agg(F.count("*").alias("n")).where("n >= 2").toPandas()
+    # the row without subject counts every labelled document once
+    held = lab.union(lab.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("subject")))
+    seen = held.join(bags.select("doc_id", "terms"), "doc_id").select("subject", F.explode("terms").alias("t")).groupBy("subject", "t").agg(F.count("*").alias("n")).where("n >= 2").toPandas()
     docs = {r["subject"]: r["n"] for r in lab.groupBy("subject").agg(F.count("*").alias("n")).limit(MAX_SUBJECTS + 1).collect()}
     if len(docs) > MAX_SUBJECTS:
         raise ValueError(f"over {MAX_SUBJECTS} subjects among the labels")
     subjects = sorted(docs)
-    count = np.zeros((len(subjects), len(terms)))
+    count, labelled = np.zeros((len(subjects) + 1, len(terms))), lab.select("doc_id").distinct().count()
     if len(seen) and len(terms):
         at = np.minimum(np.searchsorted(terms, seen.t.to_numpy()), len(terms) - 1)
         ok = terms[at] == seen.t.to_numpy()
-        count[seen.subject.map({s: i for i, s in enumerate(subjects)}).to_numpy()[ok], at[ok]] = seen.n.to_numpy()[ok]
+        row = seen.subject.map(lambda x: subjects.index(x) if isinstance(x, str) else len(subjects)).to_numpy()
+        count[row[ok], at[ok]] = seen.n.to_numpy()[ok]
+    count, any_count = count[:-1], count[-1]
     rate = count / np.maximum(np.array([docs[s] for s in subjects]), 1)[:, None] if subjects else count
     rng = np.random.default_rng(seed)
     k = len(subjects) + background
     prior = np.full((k, len(terms)), eta)
     seeded = np.zeros(len(terms), bool)
     if subjects:
-        due = np.array([docs[s] for s in subjects])[:, None] / max(1, sum(docs.values())) * count.sum(axis=0)
-        above = (count - 1.5 * np.sqrt(count)) / np.maximum(due, 1e-9)  # a careful estimate of how much oftener than by chance
+        own = np.array([docs[s] for s in subjects], float)[:, None]
+        # a careful estimate of how much oftener documents of the subject have the term than other labelled ones
+        above = (count - 1.5 * np.sqrt(count)) / own / ((np.maximum(any_count - count, 0) + 0.5) / np.maximum(labelled - own, 1))
         best = above.argmax(axis=0)
-        seeded = (above.max(axis=0) > 1.5) & (count.max(axis=0) >= 3)
+        seeded = (above.max(axis=0) > 2.0) & (count.max(axis=0) >= 3)
         prior[best[seeded], np.flatnonzero(seeded)] += strength * df[seeded]
     weight = prior.copy()
     weight[len(subjects) :] += np.where(seeded, 0.02, 1.0) * df * rng.gamma(2.0, 0.5, (background, len(terms))) / max(1, background)
