@@ -6,6 +6,7 @@ import difflib
 import re
 from collections import defaultdict, deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ VARIANT = r"(?iu)^\s*yovo(?![\p{L}\p{N}_])\s*[:;.,-]?\s*"
 UNKNOWN_LOGP = -12.0
 EMPTY_BLOCK = 20.0
 LANGS = ("pt", "fr", "en")
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
 # ---- fixed-width columns
@@ -248,12 +250,12 @@ def align_exact(primary: DataFrame, secondary: DataFrame, values: list[str], hea
     return j.select(*[F.when(F.col("other").isNotNull(), F.col(f"other.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in primary.columns], F.col("other").isNotNull().alias("matched"), "key", "nth")
 
 
-def align_fuzzy(primary: DataFrame, secondary: DataFrame, values: list[str], head: str = "kikongo", order: str = "ordinal", cutoff: float = 0.9, most: int = 200_000) -> DataFrame:
+def align_fuzzy(primary: DataFrame, secondary: DataFrame, values: list[str], head: str = "kikongo", order: str = "ordinal", cutoff: float = 0.9, most: int = 20_000) -> DataFrame:
     """Exact alignment, then close matches of at least ``cutoff`` among what is left, each secondary row used once, in the order of the primary.
 
     Matching the rest is sequential, for a match takes its row from later ones;
     the rest of a book is small and its size is checked. Keys are only compared if
-    they share one of the blocks of letters that a ratio of ``cutoff`` leaves whole.
+    the letters they have in common allow a ratio of ``cutoff``.
     """
     exact = materialize(align_exact(primary, secondary, values, head, order))
     used = exact.where("matched").select("key", "nth")
@@ -266,18 +268,15 @@ def align_fuzzy(primary: DataFrame, secondary: DataFrame, values: list[str], hea
     waiting: dict[str, deque] = defaultdict(deque)
     for r in pool:
         waiting[r["key"]].append(r)
-    grams: dict[str, set[str]] = defaultdict(set)
-
-    def blocks(k: str) -> set[str]:
-        return {k[i : i + 3] for i in range(max(1, len(k) - 2))}
-
-    for k in waiting:
-        for g in blocks(k):
-            grams[g].add(k)
+    keys = sorted(waiting)
+    letters = np.array([[k.count(c) for c in _ALPHABET] for k in keys], np.int32).reshape(len(keys), len(_ALPHABET))
+    size = letters.sum(axis=1)
     hits = []
     for r in rest:
-        near = {k for g in blocks(r["key"]) for k in grams[g] if waiting[k] and 2 * min(len(k), len(r["key"])) >= cutoff * (len(k) + len(r["key"]))}
-        best = difflib.get_close_matches(r["key"], sorted(near), n=1, cutoff=cutoff)
+        mine = np.array([r["key"].count(c) for c in _ALPHABET], np.int32)
+        # letters in common bound the ratio from above, so nothing that could match is left out
+        bound = 2 * np.minimum(letters, mine).sum(axis=1) >= cutoff * (size + mine.sum()) - 1e-9
+        best = difflib.get_close_matches(r["key"], [keys[i] for i in np.flatnonzero(bound) if waiting[keys[i]]], n=1, cutoff=cutoff)
         if best:
             other = waiting[best[0]].popleft()
             hits.append((r[order], *[other[v] for v in values]))

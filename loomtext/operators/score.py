@@ -2,44 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+_MARK = re.compile(r"([^\w\s]|_)")
+_MARK_BLEU = re.compile(r"([^\w\s.,'])")
+_POINT = re.compile(r"(?<![0-9])([.,])|([.,])(?![0-9])")
 
-def _grams(units: Column, n: int) -> Column:
-    """Arrays of n neighbouring units, joined."""
-    return F.when(F.size(units) >= n, F.transform(F.sequence(F.lit(1), F.size(units) - (n - 1)), lambda i: F.array_join(F.slice(units, i, F.lit(n)), "\x01"))).otherwise(F.array().cast("array<string>"))
 
+def letters(text: str) -> list[str]:
+    return [c for c in text if not c.isspace()]
 
-def ngram_matches(pairs: DataFrame, orders: list[tuple[str, int, Column, Column]], key: list[str]) -> DataFrame:
-    """``*key, kind, n, hyp, ref, hit``: n-grams of hypothesis and reference, and those in both (each at most as often as in the other), summed over sentences."""
-    units = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), _grams(h, n).alias("h"), _grams(r, n).alias("r")) for kind, n, h, r in orders])
-    long = pairs.select(*key, "sid", F.explode(units).alias("u")).select(*key, "sid", "u.kind", "u.n", "u.h", "u.r")
-    sizes = long.groupBy(*key, "kind", "n").agg(F.sum(F.size("h")).alias("hyp"), F.sum(F.size("r")).alias("ref"))
-    grams = long.select(*key, "sid", "kind", "n", F.explode(F.concat(F.transform("h", lambda g: F.struct(g.alias("g"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform("r", lambda g: F.struct(g.alias("g"), F.lit(0).alias("a"), F.lit(1).alias("b"))))).alias("x"))
-    both = grams.groupBy(*key, "sid", "kind", "n", "x.g").agg(F.least(F.sum("x.a"), F.sum("x.b")).alias("m"))
-    hits = both.groupBy(*key, "kind", "n").agg(F.sum("m").alias("hit"))
-    return sizes.join(hits, [*key, "kind", "n"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
+def marked_words(text: str) -> list[str]:
+    """Words, with punctuation marks as words of their own."""
+    return _MARK.sub(r" \1 ", text).split()
 
-def corpus_chrf(pairs: DataFrame, key: list[str], hyp: str = "hyp", ref: str = "ref", chars: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
-    """``*key, chrf``: character n-gram F-score with words (chrF++ at ``word_order`` 2), after Popovic (2015, 2017).
 
-    Precision and recall are taken over the sums of the whole corpus for each
-    order and averaged over the orders that occur on both sides.
+def bleu_words(text: str) -> list[str]:
+    """As :func:`marked_words`, but numbers keep their points and words their apostrophes."""
+    return _POINT.sub(lambda m: f" {m.group()} ", _MARK_BLEU.sub(r" \1 ", text)).split()
+
+
+def ngram_matches(pairs: DataFrame, units: list[tuple[Callable[[str], list[str]], int]], key: list[str], hyp: str, ref: str) -> DataFrame:
+    """``*key, o, hyp, ref, hit``: for each order o, n-grams of hypothesis and reference and those in both (each at most as often as in the other), summed over sentences.
+
+    Matches are counted within a sentence, so one Arrow pass gives a few numbers a sentence and only sums are shuffled.
     """
-    p = pairs.withColumn("sid", F.monotonically_increasing_id()).na.drop(subset=[hyp, ref])
 
-    def letters(c: str) -> Column:
-        return F.regexp_extract_all(F.regexp_replace(c, r"(?U)\s+", ""), F.lit("(?s)."), F.lit(0))
+    def count(h: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(h, r):
+            row: list[int] = []
+            for cut, n in units:
+                a, b = cut(x), cut(y)
+                u, v = (Counter(zip(*[z[i:] for i in range(n)])) for z in (a, b))
+                row += [max(0, len(a) - n + 1), max(0, len(b) - n + 1), sum(min(c, v[g]) for g, c in u.items())]
+            out.append(row)
+        return pd.Series(out)
+
+    count.__annotations__ = {"h": pd.Series, "r": pd.Series, "return": pd.Series}
+    counted = pairs.na.drop(subset=[hyp, ref]).select(*key, F.pandas_udf(count, T.ArrayType(T.LongType()))(F.col(hyp), F.col(ref)).alias("_c"))
+    names = ("hyp", "ref", "hit")
+    sums = counted.groupBy(*key).agg(*[F.sum(F.col("_c")[3 * o + j]).alias(f"{name}{o}") for o in range(len(units)) for j, name in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(o).alias("o"), *[F.col(f"{name}{o}").alias(name) for name in names]) for o in range(len(units))])
+    return sums.select(*key, F.explode(rows).alias("x")).select(*key, "x.*")
+
 
-    def words(c: str) -> Column:
-        spaced = F.regexp_replace(F.col(c), r"([\p{P}\p{S}])", " $1 ")
-        return F.filter(F.split(spaced, r"(?U)\s+"), lambda x: x != "")
+def corpus_chrf(pairs: DataFrame, key: list[str], hyp: str = "hyp", ref: str = "ref", chars: int = 6, word_order: int = 2, beta: float = 2.0) -> DataFrame:
+    """``*key, chrf``: character n-gram F-score with words (chrF++ at ``word_order`` 2), after Popovic (2015, 2017).
 
-    p = p.withColumn("_hc", letters(hyp)).withColumn("_rc", letters(ref)).withColumn("_hw", words(hyp)).withColumn("_rw", words(ref))
-    orders = [("char", n, F.col("_hc"), F.col("_rc")) for n in range(1, chars + 1)] + [("word", n, F.col("_hw"), F.col("_rw")) for n in range(1, word_order + 1)]
-    m = ngram_matches(p, orders, key).where("hyp > 0 and ref > 0")
+    Precision and recall are taken over the sums of the whole corpus for each
+    order and averaged over the orders that occur on both sides. Pairs with a null side are left out.
+    """
+    units = [(letters, n) for n in range(1, chars + 1)] + [(marked_words, n) for n in range(1, word_order + 1)]
+    m = ngram_matches(pairs, units, key, hyp, ref).where("hyp > 0 and ref > 0")
     avg = m.groupBy(*key).agg(F.avg(F.col("hit") / F.col("hyp")).alias("p"), F.avg(F.col("hit") / F.col("ref")).alias("r"))
     b2 = beta * beta
     return avg.select(*key, F.when(b2 * F.col("p") + F.col("r") > 0, 100 * (1 + b2) * F.col("p") * F.col("r") / (b2 * F.col("p") + F.col("r"))).otherwise(0.0).alias("chrf"))
@@ -47,15 +70,10 @@ def corpus_chrf(pairs: DataFrame, key: list[str], hyp: str = "hyp", ref: str = "
 
 def corpus_bleu(pairs: DataFrame, key: list[str], hyp: str = "hyp", ref: str = "ref", most: int = 4) -> DataFrame:
     """``*key, bleu``: BLEU of Papineni et al. (2002), one reference, exponential smoothing of orders without a match."""
-    p = pairs.withColumn("sid", F.monotonically_increasing_id()).na.drop(subset=[hyp, ref])
-    for c, name in ((hyp, "_h"), (ref, "_r")):
-        spaced = F.regexp_replace(F.regexp_replace(c, r"([\p{P}&&[^.,']]|\p{S})", " $1 "), r"(?<![0-9])([.,])|([.,])(?![0-9])", " $1$2 ")
-        p = p.withColumn(name, F.filter(F.split(spaced, r"(?U)\s+"), lambda x: x != ""))
-    m = ngram_matches(p, [("word", n, F.col("_h"), F.col("_r")) for n in range(1, most + 1)], key)
-    zeros = F.sum((F.col("hit") == 0).cast("int")).over(Window.partitionBy(*key).orderBy("n")) if key else F.sum((F.col("hit") == 0).cast("int")).over(Window.orderBy("n"))
+    m = ngram_matches(pairs, [(bleu_words, n) for n in range(1, most + 1)], key, hyp, ref)
+    zeros = F.sum((F.col("hit") == 0).cast("int")).over(Window.partitionBy(*key).orderBy("o"))
     prec = F.when(F.col("hyp") == 0, F.lit(None)).when(F.col("hit") == 0, 1.0 / (F.pow(F.lit(2.0), zeros) * F.col("hyp"))).otherwise(F.col("hit") / F.col("hyp"))
-    m = m.withColumn("lp", F.log(prec))
-    got = m.groupBy(*key).agg(F.sum(F.coalesce("lp", F.lit(float("-1e9")))).alias("s"), F.max(F.when(F.col("n") == 1, F.col("hyp"))).alias("h"), F.max(F.when(F.col("n") == 1, F.col("ref"))).alias("r"))
+    got = m.withColumn("lp", F.log(prec)).groupBy(*key).agg(F.sum(F.coalesce("lp", F.lit(-1e9))).alias("s"), F.max(F.when(F.col("o") == 0, F.col("hyp"))).alias("h"), F.max(F.when(F.col("o") == 0, F.col("ref"))).alias("r"))
     brief = F.when(F.col("h") >= F.col("r"), 0.0).otherwise(1 - F.col("r") / F.greatest("h", F.lit(1)))
     return got.select(*key, (100 * F.exp(F.col("s") / most + brief)).alias("bleu"))
 
