@@ -142,7 +142,8 @@ def fit_topics(bags: DataFrame, labels: DataFrame, background: int = 6, alpha: f
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), clean_id("subject").alias("subject")).where("subject is not null and doc_id is not null").distinct()
     # the row without subject counts every labelled document once
     held = lab.union(lab.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("subject")))
-    seen = held.join(bags.select("doc_id", "terms"), "doc_id").select("subject", F.explode("terms").alias("t")).groupBy("subject", "t").agg(F.count("*").alias("n")).where("n >= 2").toPandas()
+    in_vocab = F.broadcast(spark.createDataFrame(vocab[["t"]])) if len(vocab) else spark.createDataFrame([], "t long")
+    seen = held.join(bags.select("doc_id", "terms"), "doc_id").select("subject", F.explode("terms").alias("t")).join(in_vocab, "t").groupBy("subject", "t").agg(F.count("*").alias("n")).where("n >= 2").toPandas()
     docs = {r["subject"]: r["n"] for r in lab.groupBy("subject").agg(F.count("*").alias("n")).limit(MAX_SUBJECTS + 1).collect()}
     if len(docs) > MAX_SUBJECTS:
         raise ValueError(f"over {MAX_SUBJECTS} subjects among the labels")
