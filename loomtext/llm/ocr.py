@@ -266,7 +266,7 @@ def rebuilt(word: str, seen: dict[str, int], capitals: bool) -> tuple[str, list[
             new = set(_trigrams(v))
             was = min((seen.get(g, 0) for g in own - new), default=0)
             now = min((seen.get(g, 0) for g in new - own), default=0)
-            if now >= 8 * max(1, was) and (best is None or now > best[2]):
+            if now >= 4 * max(1, was) and (best is None or now > best[2]):
                 best = (v, [(at, False)], now)
             at = word.find(a, at + 1)
     return best[:2] if best else None
