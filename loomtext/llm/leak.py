@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,8 @@ MAX_ITEM_WORDS = 20_000_000
 _DROP = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
 _LOWER = bytes(ord(chr(c).lower()) if c < 128 else c for c in range(256))
 _JUNK = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
+_HYPHEN = re.compile(r"[-\u00ad\u2010\u2011][^\S\r\n]*[\r\n]\s*|\u00ad")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 
@@ -79,6 +82,48 @@ def squeeze_with_offsets(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+class Words:
+    """Where the words of a text start in its squeezed form; found when first asked for."""
+
+    def __init__(self, body: str, size: int) -> None:
+        self.body, self.size, self.starts = body, size, None
+
+    def _read(self) -> list[int]:
+        if self.starts is None:
+            text = repair(self.body)
+            if not text.isascii():
+                text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+            self.starts, self.broken, pos, end = [], set(), 0, 0
+            for m in _WORD.finditer(text):
+                between = text[end : m.start()]
+                if not self.starts or not _HYPHEN.fullmatch(between):
+                    self.starts.append(pos)
+                    if "\n" in between or "\r" in between:
+                        self.broken.add(pos)
+                pos += len(m.group() if m.group().isascii() else _JUNK.sub("", m.group().casefold()))
+                end = m.end()
+            self.known = {*self.starts, self.size}
+        return self.starts
+
+    def after(self, q: int, c: int) -> int:
+        """The end of the ``c``-th word from ``q`` on; a line break may stand inside one of them."""
+        starts = self._read()
+        a = bisect_left(starts, q)
+        c += any(s in self.broken and s > q for s in starts[a : a + c + 1])
+        return starts[a + c] if a + c < len(starts) else self.size
+
+    def before(self, q: int, c: int) -> int:
+        """The start of the ``c``-th word back from ``q``; a line break may stand inside one of them."""
+        starts = self._read()
+        b = bisect_right(starts, q) - 1
+        c += any(s in self.broken and s < q for s in starts[max(0, b - c) : b + 1])
+        return starts[b - c] if b >= c else 0
+
+    def whole(self, first: int, stop: int) -> bool:
+        self._read()
+        return first in self.known and stop in self.known
+
+
 class Items:
     """Items with one automaton over their word n-grams.
 
@@ -123,67 +168,61 @@ class Items:
             self.auto.make_automaton()
         self.empty = not found
 
-    def _reach(self, k: int, i: int, doc: str, p: int, step: int) -> list[tuple[int, int]]:
-        """From word ``i`` of item ``k`` at ``p`` on (or back): words and characters taken with 0, 1, ... changed words."""
-        words, slips, taken, out, q, changed = self.words[k], self.slips, 0, [], p, 0
+    def _gap(self, k: int, i: int, c: int, q: int, step: int, marks: Words) -> int:
+        """The farthest character up to which the words of the document in the place of words ``i``, ... (``c`` of them) may reach from ``q``."""
+        room = sum(len(w) + max(4, len(w) // 2) for w in (self.words[k][i + step * x] for x in range(c)))
+        return max(q + room, marks.after(q, c)) if step > 0 else max(0, min(q - room, marks.before(q, c)))
+
+    def _reach(self, k: int, i: int, doc: str, p: int, step: int, marks: Words, slips: int) -> list[tuple[int, int]]:
+        """From word ``i`` of item ``k`` at ``p`` on (or back): most words, and their characters, taken with up to 0, 1, ... changed words.
+
+        Changed words, also adjacent ones, stand for as many words of the document,
+        whatever their length; every place where the item may go on is tried.
+        """
+        words, q, taken = self.words[k], p, 0
         last = len(words) if step > 0 else -1
         while i != last:
             w = words[i]
-            if step > 0:
-                same = doc.startswith(w, q)
-            else:
-                same = q >= len(w) and doc.startswith(w, q - len(w))
-            if same:
-                q += step * len(w)
-                taken += 1
-                i += step
-                continue
-            out.append((taken, abs(q - p)))
-            changed += 1
-            if changed > slips:
-                return out
-            # the changed word ends where the item goes on: after it the next two words (or the last one) must follow
-            follow = words[i + step : i + 3 * step : step] if step > 0 or i >= 2 else words[max(0, i - 2) : i][::-1]
-            if not follow:
+            if not (doc.startswith(w, q) if step > 0 else q >= len(w) and doc.startswith(w, q - len(w))):
                 break
-            room = len(w) + max(4, len(w) // 2)
-            if step > 0:
-                probe = "".join(follow)
-                at = doc.find(probe, q, q + room + len(probe))
-                if at < 0:
-                    probe = follow[0]
-                    at = doc.find(probe, q, q + room + len(probe)) if len(probe) > 3 else -1
-                if at < 0:
-                    break
-                q = at
-            else:
-                probe = "".join(reversed(follow))
-                at = doc.rfind(probe, max(0, q - room - len(probe)), q)
-                if at < 0:
-                    probe = follow[0]
-                    at = doc.rfind(probe, max(0, q - room - len(probe)), q) if len(probe) > 3 else -1
-                if at < 0:
-                    break
-                q = at + len(probe)
+            q += step * len(w)
             taken += 1
             i += step
-        out.append((taken, abs(q - p)))
+        out = [(taken, abs(q - p))]
+        for c in range(1, slips + 1):
+            out.append(out[-1])
+            if (last - i) * step <= c:
+                continue
+            w, end = words[i + step * c], self._gap(k, i, c, q, step, marks)
+            at = doc.find(w, q, end + len(w)) if step > 0 else doc.find(w, max(0, end - len(w)), q)
+            while at >= 0:
+                start = at if step > 0 else at + len(w)
+                rest = self._reach(k, i + step * c, doc, start, step, marks, slips - c)
+                stop = start + step * rest[0][1]
+                # a few letters count only where they are words of the document
+                if rest[0][1] > 3 or marks.whole(min(start, stop), max(start, stop)):
+                    for d, (n, size) in enumerate(rest):
+                        while len(out) <= c + d:
+                            out.append(out[-1])
+                        out[c + d] = max(out[c + d], (taken + c + n, abs(start - p) + size), key=lambda x: (x[0], -x[1]))
+                at = doc.find(w, at + 1, end + len(w)) if step > 0 else doc.find(w, at + 1, q)
         return out
 
-    def find(self, doc: str) -> dict[int, tuple[int, int, int]]:
-        """Item index -> (words, first, last character) of the longest passage of at least half of the item's words."""
+    def find(self, doc: str, body: str) -> dict[int, tuple[int, int, int]]:
+        """Item index -> (words, first, last character) of the longest passage of at least half of the item's words in ``doc``, the squeezed ``body``."""
         best: dict[int, tuple[int, int, int]] = {}
         if self.empty:
             return best
         done: dict[tuple[int, int], int] = {}
+        marks = Words(body, len(doc))
         for end, (length, at) in self.auto.iter(doc):
             first = end + 1 - length
             for k, i in at:
                 line = (k, first - self.start[k][i])
                 if done.get(line, -1) >= end:
                     continue
-                left = self._reach(k, i - 1, doc, first, -1)
-                right = self._reach(k, i + self.size[k], doc, end + 1, 1)
+                left = self._reach(k, i - 1, doc, first, -1, marks, self.slips)
+                right = self._reach(k, i + self.size[k], doc, end + 1, 1, marks, self.slips)
                 done[line] = end + right[0][1]
                 # changes that are left over may stand at the ends of the passage
                 words, lo, hi = max((min(a[0] + self.size[k] + b[0] + self.slips - x - y, len(self.words[k])), first - a[1], end + 1 + b[1]) for x, a in enumerate(left) for y, b in enumerate(right) if x + y <= self.slips)
@@ -216,7 +255,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
             for doc, body in zip(pdf[doc_id], pdf[text]):
                 if not body:
                     continue
-                found = auto.find(squeeze(body))
+                found = auto.find(squeeze(body), body)
                 if found and offsets:
                     at = squeeze_with_offsets(body)[1]
                     rows += [(auto.ids[k], doc, w, at[min(lo, len(at) - 1)], at[min(hi, len(at)) - 1] + 1) for k, (w, lo, hi) in found.items()]

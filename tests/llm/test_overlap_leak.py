@@ -81,6 +81,26 @@ def test_leaks_whatever_the_form(spark):
     assert leak.leaked_passages(d, i.limit(0)).count() == 0 and leak.leaked_passages(d.limit(0), i).count() == 0
 
 
+def test_passages_go_on_after_changed_words():
+    rng = random.Random(8)
+    words = sentence(rng, 40)[:-1].split()
+    for k in (2, 7, 20, 30):
+        words[k] = "of"
+    items = leak.Items([(1, " ".join(words))])
+
+    def found(changes, lo=10, hi=30):
+        changed = [changes.get(k, w) for k, w in enumerate(words)]
+        body = sentence(rng, 9) + " " + " ".join(changed[lo:hi]) + " " + sentence(rng, 9)
+        return items.find(leak.squeeze(body), body)
+
+    for changes, lo in [
+        ({}, 10), ({20: "throughoutthelongeststreets"}, 10), ({19: "other", 20: "unreasonably"}, 10), ({16: "zz", 17: "yy"}, 10), ({16: "zz", 18: "yy"}, 10),
+        ({22: "antidisestablishmentarianism", 23: "incomprehensibilities"}, 10), ({2: "throughout", 12: "xx"}, 0), ({2: "xx", 3: "yy"}, 0), ({1: "zz", 2: "unreasonably"}, 0), ({20: "through-\nout"}, 10),
+    ]:
+        assert found(changes, lo, lo + 20), (changes, lo)
+    assert not found({14: "zz", 19: "yy", 24: "vv"}) and not found({20: "some more words that stand there"}, 12, 28) and not found({}, 10, 27)
+
+
 def test_broken_encodings_and_accents():
     s = "À l’école, les élèves étudient"
     broken = s.encode("utf-8").decode("cp1252", "ignore")
