@@ -19,6 +19,9 @@ from ..session import materialize
 DIM = 1 << 12
 UNKNOWN = 0.35
 MAX_TABLE = 2_000_000
+DENSE = 1_440_000  # sentence pairs up to which a document's costs are one table
+BLOCK = 1_000
+SLIGHT = 1e-5
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 
 
@@ -76,15 +79,30 @@ class Vectors:
                 self.cache[(source, raw)] = got
         return got
 
-    def matrix(self, sentences: list[str | None], source: bool) -> tuple[np.ndarray, np.ndarray]:
-        m, size = np.zeros((len(sentences), DIM), np.float32), np.zeros(len(sentences))
+    def slots(self, sentences: list[str | None], source: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sentence, slot and weight of each feature; a slot may come more than once."""
+        rows, cols, weights = [], [], []
         for k, s in enumerate(sentences):
             # a word said again says less: its weight grows with the square root of its number
             for w, n in Counter(_WORD.findall(unicodedata.normalize("NFKC", s))).items() if s else ():
                 for slot, x in self.features(w, source):
-                    m[k, slot] += x * n**0.5
-        size = np.sqrt((m * m).sum(axis=1))
-        return m, size
+                    rows.append(k)
+                    cols.append(slot)
+                    weights.append(x * n**0.5)
+        return np.array(rows, np.int64), np.array(cols, np.int64), np.array(weights, np.float32)
+
+    def matrix(self, sentences: list[str | None], source: bool) -> tuple[np.ndarray, np.ndarray]:
+        m = _dense(self.slots(sentences, source), 0, len(sentences))
+        return m, np.sqrt((m * m).sum(axis=1))
+
+
+def _dense(slots: tuple[np.ndarray, np.ndarray, np.ndarray], lo: int, hi: int) -> np.ndarray:
+    """The vectors of sentences ``lo`` to ``hi``, a row for each."""
+    rows, cols, weights = slots
+    part = slice(np.searchsorted(rows, lo), np.searchsorted(rows, hi))
+    m = np.zeros((hi - lo, DIM), np.float32)
+    np.add.at(m, (rows[part] - lo, cols[part]), weights[part])
+    return m
 
 
 def transport(cost: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, null_cost: float, reg: float = 0.03, rounds: int = 60) -> np.ndarray:
@@ -107,7 +125,49 @@ def transport(cost: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, null_cos
     return (u[:, None] * k * v[None, :])[:n, :m]
 
 
-def links(srcs: list, trgs: list, vec: Vectors, null_cost: float = 0.62, floor: float = 0.25) -> list[tuple[int, int, float]]:
+def sparse_transport(x: np.ndarray, y: np.ndarray, cost: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, null_cost: float, reg: float = 0.03, rounds: int = 60) -> np.ndarray:
+    """:func:`transport` where only the pairs ``x, y`` have a finite ``cost``; the mass of each of them."""
+    n, m = len(mass_a), len(mass_b)
+    k, null = np.exp(-cost / reg), np.exp(-null_cost / reg)
+    u, v, u0, v0 = np.ones(n), np.ones(m), 1.0, 1.0
+    for _ in range(rounds):
+        u, u0 = mass_a / np.maximum(np.bincount(x, k * v[y], n) + null * v0, 1e-300), mass_b.sum() / max(null * v.sum() + v0, 1e-300)
+        v, v0 = mass_b / np.maximum(np.bincount(y, k * u[x], m) + null * u0, 1e-300), mass_a.sum() / max(null * u.sum() + u0, 1e-300)
+    # as in the dense form, the last word is the columns'
+    return u[x] * k * v[y]
+
+
+def _costs(dot: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    sim = dot / np.maximum(np.outer(na, nb), 1e-9)
+    # how much of the smaller vector lies in the larger one: a part of a joined sentence counts whole
+    part = dot / np.maximum(np.minimum.outer(na * na, nb * nb), 1e-9)
+    return 1 - np.clip(0.5 * sim + 0.5 * np.minimum(part, 1.0), 0, 1)
+
+
+def _near(a: tuple, b: tuple, na: np.ndarray, nb: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a cost up to ``most``, block by block."""
+    out = []
+    blocks = [(j, _dense(b, j, min(j + BLOCK, len(nb)))) for j in range(0, len(nb), BLOCK)] if len(nb) <= 8 * BLOCK else None
+    for i in range(0, len(na), BLOCK):
+        left = _dense(a, i, min(i + BLOCK, len(na)))
+        for j, right in blocks or ((j, _dense(b, j, min(j + BLOCK, len(nb)))) for j in range(0, len(nb), BLOCK)):
+            cost = _costs(left @ right.T, na[i : i + BLOCK], nb[j : j + BLOCK])
+            x, y = np.nonzero(cost <= most)
+            out.append(((x + i).astype(np.int32), (y + j).astype(np.int32), cost[x, y]))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _of_one(own: np.ndarray, other: np.ndarray, share: np.ndarray, mass_own: np.ndarray, mass_other: np.ndarray) -> np.ndarray:
+    """Links to keep: a sentence smaller than all its partners is a part of one of them only."""
+    keep = np.ones(len(own), bool)
+    order = np.argsort(own, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+        if len(at) > 1 and (mass_own[own[at[0]]] < 0.7 * mass_other[other[at]]).all():
+            keep[at] = share[at] == share[at].max()
+    return keep
+
+
+def links(srcs: list, trgs: list, vec: Vectors, null_cost: float = 0.62, floor: float = 0.25, dense: int = DENSE, reg: float = 0.03) -> list[tuple[int, int, float]]:
     """Positions of ``srcs`` and ``trgs`` that translate each other, with the share of mass moved.
 
     Blank elements link nothing. Masses are the lengths of the vectors, so a
@@ -115,52 +175,42 @@ def links(srcs: list, trgs: list, vec: Vectors, null_cost: float = 0.62, floor:
     the part of the sentence that it covers, and the groups of the plan (one
     with many, many with one) give the merges and splits, what stays with the null
     partner the omissions.
+
+    A document of over ``dense`` pairs is transported whole as well, on those
+    pairs that can take mass: in the plan, pair x null pair = what both leave to
+    null x exp((null_cost - cost) / reg), and the null pair holds the matched
+    mass, so all pairs of a sentence left out here have at most SLIGHT x (mass
+    of the other side / matched mass) of its mass.
     """
     si = [i for i, x in enumerate(srcs) if words(x)]
     ti = [j for j, x in enumerate(trgs) if words(x)]
     if not si or not ti:
         return []
-    a, na = vec.matrix([srcs[i] for i in si], True)
-    b, nb = vec.matrix([trgs[j] for j in ti], False)
-    dot = a @ b.T
-    sim = dot / np.maximum(np.outer(na, nb), 1e-9)
-    # how much of the smaller vector lies in the larger one: a part of a joined sentence counts whole
-    part = dot / np.maximum(np.minimum.outer(na * na, nb * nb), 1e-9)
-    cost = 1 - np.clip(0.5 * sim + 0.5 * np.minimum(part, 1.0), 0, 1)
-    ma, mb = na * na, nb * nb
-    scale = ma.sum() + mb.sum()
-    plan = transport(cost, ma / scale, mb / scale, null_cost / 2)
-    share = plan / np.minimum.outer(ma, mb) * scale
-    taken = share > floor
-    # a sentence smaller than all its partners is a part of one of them only
-    for y in np.flatnonzero(taken.sum(axis=0) > 1):
-        if (mb[y] < 0.7 * ma[taken[:, y]]).all():
-            taken[:, y] &= share[:, y] == share[:, y].max()
-    for x in np.flatnonzero(taken.sum(axis=1) > 1):
-        if (ma[x] < 0.7 * mb[taken[x]]).all():
-            taken[x] &= share[x] == share[x].max()
-    return [(si[x], ti[y], float(share[x, y])) for x, y in zip(*np.nonzero(taken))]
-
-
-WINDOW = 1_200
-
-
-def document_links(srcs: list, trgs: list, vec: Vectors, **kw) -> list[tuple[int, int, float]]:
-    """:func:`links` of a whole document; beyond ``WINDOW`` sentences in windows of the two lists' like parts that overlap by half."""
-    n, m = len(srcs), len(trgs)
-    if max(n, m) <= WINDOW:
-        return links(srcs, trgs, vec, **kw)
-    best: dict[tuple[int, int], float] = {}
-    parts = -(-max(n, m) * 2 // WINDOW)
-    for p in range(parts):
-        lo, hi = max(0, p - 1) / parts, min(parts, p + 2) / parts
-        i, j = int(lo * n), int(lo * m)
-        for x, y, s in links(srcs[i : int(hi * n) + 1], trgs[j : int(hi * m) + 1], vec, **kw):
-            best[i + x, j + y] = max(s, best.get((i + x, j + y), 0.0))
-    rows, cols = {}, {}
-    for (x, y), s in best.items():
-        rows[x], cols[y] = max(s, rows.get(x, 0.0)), max(s, cols.get(y, 0.0))
-    return [(x, y, s) for (x, y), s in sorted(best.items()) if s >= 0.5 * max(rows[x], cols[y])]
+    if len(si) * len(ti) <= dense:
+        a, na = vec.matrix([srcs[i] for i in si], True)
+        b, nb = vec.matrix([trgs[j] for j in ti], False)
+        ma, mb = na * na, nb * nb
+        scale = ma.sum() + mb.sum()
+        plan = transport(_costs(a @ b.T, na, nb), ma / scale, mb / scale, null_cost / 2, reg)
+        share = plan / np.minimum.outer(ma, mb) * scale
+        x, y = np.nonzero(share > floor)
+        share = share[x, y]
+    else:
+        a, b = vec.slots([srcs[i] for i in si], True), vec.slots([trgs[j] for j in ti], False)
+        na, nb = (np.sqrt(np.concatenate([(_dense(z, i, min(i + BLOCK, n)) ** 2).sum(axis=1) for i in range(0, n, BLOCK)])) for z, n in ((a, len(si)), (b, len(ti))))
+        ma, mb = na * na, nb * nb
+        scale = ma.sum() + mb.sum()
+        x, y, cost = _near(a, b, na, nb, null_cost - reg * np.log(SLIGHT))
+        share = sparse_transport(x, y, cost, ma / scale, mb / scale, null_cost / 2, reg) / np.minimum(ma[x], mb[y]) * scale
+        taken = share > floor
+        x, y, share = x[taken], y[taken], share[taken]
+        order = np.lexsort((y, x))
+        x, y, share = x[order], y[order], share[order]
+    for own, other, m_own, m_other in ((1, 0, mb, ma), (0, 1, ma, mb)):
+        at = (x, y)
+        keep = _of_one(at[own], at[other], share, m_own, m_other)
+        x, y, share = x[keep], y[keep], share[keep]
+    return [(si[i], ti[j], float(s)) for i, j, s in zip(x, y, share)]
 
 
 def _rarity(sentences: DataFrame, rare: int) -> tuple[dict[str, float], int]:
@@ -209,7 +259,7 @@ def align_documents(documents: DataFrame, dictionary: DataFrame, id_col: str = "
         for pdf in batches:
             out = []
             for key, a, b in zip(pdf.id, pdf.srcs, pdf.trgs):
-                found = document_links(list(a), list(b), vec)
+                found = links(list(a), list(b), vec)
                 rows, cols = {}, {}
                 for x, y, _ in found:
                     rows[x], cols[y] = rows.get(x, 0) + 1, cols.get(y, 0) + 1

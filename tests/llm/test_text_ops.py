@@ -53,6 +53,24 @@ def test_alignment_of_known_documents(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want), (got - want, want - got)
 
 
+def test_long_documents_with_omissions_and_far_moves(spark):
+    p = bilingual(random.Random(7), 2000)
+    moved = p[1000:] + p[:1000]
+    df = spark.createDataFrame([("first", [a for a, _ in p], [b for _, b in p[:500]], ""), ("moved", [a for a, _ in p], [b for _, b in moved], "")], DOC)
+    got = {(r.id, r.src_index, r.trg_index) for r in align.align_documents(df, dictionary(spark)).collect()}
+    assert len(got & {("first", i, i) for i in range(500)}) > 475
+    assert len(got & {("moved", i, (i + 1000) % 2000) for i in range(2000)}) > 1900
+
+
+def test_sparse_transport_links_as_the_dense_one():
+    p = bilingual(random.Random(9), 300)
+    rarity = {w: 1.0 for k, v in PAIR.items() for w in (k, v)}
+    vec = align.Vectors({k: [(v, 1.0)] for k, v in PAIR.items()}, rarity, rarity, 5.0)
+    src, trg = [a for a, _ in p], [b for _, b in p[40:]] + [p[3][1] + " " + p[4][1], None]
+    dense, sparse = align.links(src, trg, vec), align.links(src, trg, vec, dense=0)
+    assert [x[:2] for x in dense] == [x[:2] for x in sparse] and np.allclose([x[2] for x in dense], [x[2] for x in sparse], atol=1e-3)
+
+
 def test_alignment_of_long_and_no_documents(spark):
     p = bilingual(random.Random(6), 1500)
     df = spark.createDataFrame([("long", [a for a, _ in p], [b for _, b in p], "")], DOC)
