@@ -167,6 +167,19 @@ def test_languages_of_rows_segments_and_lines(spark):
     assert langid.doubtful(langid.segments_of_both(r.limit(0), s.limit(0), lex, passages)[0]).count() == 0
 
 
+def test_language_models_see_every_segment(spark):
+    rng = random.Random(12)
+    lex = spark.createDataFrame([(k, w) for k, v in TEXT.items() for w in v], "lexicon string, form string")
+    passages = spark.createDataFrame([], "item_id int, lang string, text string, split string")
+    texts = [" ".join([f"nza{c}x{c}mba"] + corpus(rng, "kg", 1)) for c in "bcdfghjklm"]
+    h = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    hot = min(texts, key=lambda t: h[t])
+    r = spark.createDataFrame([(hot, "kg")] * 12_500 + [(t, "kg") for t in texts], "trg string, trg_lang string")
+    m = langid.fit(r, spark.createDataFrame([], "rec_id long, body array<string>"), lex, passages)
+    for c in "bcdfghjklm":
+        assert langid._ngram_hashes(langid._codes(f"za{c}x{c}"), 5)[0] in m.gram_hash, c
+
+
 def test_kneser_ney_sums_to_one():
     m = langid.Models({"a": ["abab", "abba"], "b": ["bbbb"]}, order=3)
     letters = sorted({c for t in ("abab", "abba", "bbbb") for c in t})
