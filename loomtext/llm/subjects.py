@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_id
-from ..session import materialize
+from ..session import discard, materialize
 
 WORD = re.compile(r"[^\W\d_]{2,40}")
-RARE = 2_000  # a term must be in one of RARE documents, so there are at most RARE x mean distinct terms of them
+RARE = 2_000  # a term must be in one of RARE documents (at most RARE x mean distinct terms are), or in three that are labelled with one subject
 SLICES = 6
 MAX_SUBJECTS = 200
 _BAG = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
@@ -130,20 +130,24 @@ def fit_topics(bags: DataFrame, labels: DataFrame, background: int = 6, alpha: f
     the corpus' own term counts, shaken by ``seed``. After the fit every topic is mapped anew: its top
     terms (by weight and rarity) are held against the labelled documents, and
     it takes the subject in which they mostly occur, or none. Term and label
-    counts cover all documents; only sums of a size of terms x topics, which is
-    bounded, reach the driver.
+    counts cover all documents; only sums of a size of terms x topics reach the
+    driver, where the terms are bounded by ``RARE`` and by the labelled documents.
     """
     spark = bags.sparkSession
     n = bags.count()
     if not n:
         return Topics(np.zeros(0, np.int64), np.zeros((0, 0)), [], [], alpha)
-    vocab = bags.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= max(3, n // RARE)).toPandas().sort_values("t", ignore_index=True)
-    terms, df = vocab.t.to_numpy(), vocab.df.to_numpy(float)
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), clean_id("subject").alias("subject")).where("subject is not null and doc_id is not null").distinct()
     # the row without subject counts every labelled document once
     held = lab.union(lab.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("subject")))
+    near = materialize(held.join(bags.select("doc_id", "terms"), "doc_id").select("subject", F.explode("terms").alias("t")).groupBy("subject", "t").agg(F.count("*").alias("n")).where("n >= 2"))
+    # common terms, and those of any subject, however rare it is among all documents
+    own_terms = near.where("subject is not null and n >= 3").select("t").distinct().withColumn("own", F.lit(True))
+    vocab = bags.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where("df >= 3").join(own_terms, "t", "left").where((F.col("df") >= n // RARE) | F.col("own")).select("t", "df").toPandas().sort_values("t", ignore_index=True)
+    terms, df = vocab.t.to_numpy(), vocab.df.to_numpy(float)
     in_vocab = F.broadcast(spark.createDataFrame(vocab[["t"]])) if len(vocab) else spark.createDataFrame([], "t long")
-    seen = held.join(bags.select("doc_id", "terms"), "doc_id").select("subject", F.explode("terms").alias("t")).join(in_vocab, "t").groupBy("subject", "t").agg(F.count("*").alias("n")).where("n >= 2").toPandas()
+    seen = near.join(in_vocab, "t").select("subject", "t", "n").toPandas()
+    discard(near)
     docs = {r["subject"]: r["n"] for r in lab.groupBy("subject").agg(F.count("*").alias("n")).limit(MAX_SUBJECTS + 1).collect()}
     if len(docs) > MAX_SUBJECTS:
         raise ValueError(f"over {MAX_SUBJECTS} subjects among the labels")

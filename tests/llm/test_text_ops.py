@@ -270,3 +270,21 @@ def test_subjects_from_topics(spark):
     assert subjects.document_subjects(d, lab.limit(0)).count() == 0 and subjects.document_subjects(d.limit(0), lab).count() == 0
     top = subjects.topic_terms(d, lab)
     assert {r.subject for r in top.where(F.col("subject").isNotNull()).select("subject").distinct().collect()} == set(subj)
+
+
+def test_a_rare_subject_keeps_its_terms(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "RARE", 20)
+    rng = random.Random(3)
+    subj = {"law": "judge court verdict prison lawyer appeal statute witness".split(), "music": "drum song choir rhythm melody trumpet verse singer".split(), "sport": "goal match team coach medal runner league trophy".split(), "chess": "pawn bishop knight rook castling gambit endgame checkmate".split()}
+    common = "house road friend river mother stone bird village tree cloud hand fire".split()
+    docs, truth, labels = [], set(), []
+    for i in range(1000):
+        mine = ["chess"] if i % 33 == 0 else [["law"], ["music"], ["sport"], []][i % 4]
+        docs.append((i, " ".join([rng.choice(common) for _ in range(60)] + [rng.choice(subj[s]) for s in mine for _ in range(20)])))
+        truth |= {(i, s) for s in mine}
+        if i % 3 == 0:
+            labels += [(i, s, "ann") for s in mine]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string, annotator string")
+    got = {tuple(r) for r in subjects.document_subjects(d, lab).collect()}
+    assert len(got & truth) >= 0.97 * len(truth) and len(got - truth) <= 0.03 * len(truth)
+    assert sum(s == "chess" for _, s in got & truth) >= 29
