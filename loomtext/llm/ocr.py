@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ MISREAD = [("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("d"
 MISREAD_FIRST = [("l", "i"), ("g", "c")]
 MISREAD_CAPITALS = [("8", "b"), ("2", "z"), ("5", "s"), ("0", "o"), ("6", "g"), ("1", "i"), ("l", "i"), ("li", "u"), ("ii", "n"), ("ivi", "m"), ("f", "e")]
 ACCENTS = ["aàáâãäå", "eèéêë", "iìíîï", "oòóôõö", "uùúûü", "cç", "nñ"]
+_BARE = str.maketrans({ch: g[0] for g in ACCENTS for ch in g})
+MAX_GRAMS = 1_000_000
 
 MARKS = re.compile(r"^\s*(?:[|¦!_~:;,.·‘'`*^}{\\<>=]{1,3}(?:\s+|$))+")
 BREAK = re.compile(r"[^\W\d_†]*[\w†](?:[-‐‑­¬])\s*$")
@@ -185,36 +187,25 @@ def _pairs(capitals: bool) -> list[tuple[str, str]]:
     return MISREAD_CAPITALS if capitals else MISREAD
 
 
-def _spots(word: str, capitals: bool) -> list[tuple[int, int, int, bool]]:
-    """What may be misread in ``word``: start, length, hash difference, whether it is only an accent."""
-    out = []
+def unaccented(word: str) -> str:
+    return word.translate(_BARE)
+
+
+def variant_hashes(word: str, capitals: bool, most: int = 4) -> list[int]:
+    """Hashes, without accents, of all words from which up to ``most`` misread letters and any changes of accents lead to ``word``."""
+    own = anagram_hash(unaccented(word))
+    room: Counter = Counter()
     for a, b in _pairs(capitals):
-        d, at = anagram_hash(b) - anagram_hash(a), word.find(a)
+        at = word.find(a)
         while at >= 0:
-            out.append((at, len(a), d, False))
+            room[anagram_hash(unaccented(b)) - anagram_hash(unaccented(a))] += 1
             at = word.find(a, at + 1)
     if not capitals:
-        out += [(0, len(a), anagram_hash(b) - anagram_hash(a), False) for a, b in MISREAD_FIRST if word.startswith(a)]
-        for i, ch in enumerate(word):
-            group = next((g for g in ACCENTS if ch in g), "")
-            out += [(i, 1, anagram_hash(o) - anagram_hash(ch), True) for o in group if o != ch]
-    return out
-
-
-def variant_hashes(word: str, capitals: bool) -> list[int]:
-    """Hashes of all words from which up to three misreadings, one of them an accent, lead to ``word``."""
-    spots, own = _spots(word, capitals), anagram_hash(word)
-    letters, accents = [s for s in spots if not s[3]], [s for s in spots if s[3]]
-    out = {s[2] for s in spots}
-    for n in (2, 3):
-        for c in combinations(letters[:24], n):
-            if all(x[0] + x[1] <= y[0] or y[0] + y[1] <= x[0] for x, y in combinations(c, 2)):
-                out.add(sum(s[2] for s in c))
-    for x in accents:
-        for y in letters[:24]:
-            if x[0] + 1 <= y[0] or y[0] + y[1] <= x[0]:
-                out.add(x[2] + y[2])
-    out.discard(0)
+        room.update(anagram_hash(unaccented(b)) - anagram_hash(unaccented(a)) for a, b in MISREAD_FIRST if word.startswith(a))
+    # letters are exchanged by kinds, of which there are few; that some of them overlap in the word is left to the check of the pair
+    out = {0}
+    for n in range(1, most + 1):
+        out.update(sum(c) for c in combinations_with_replacement(sorted(room), n) if all(k <= room[d] for d, k in Counter(c).items()))
     return sorted(own + d for d in out)
 
 
@@ -303,7 +294,7 @@ def examine(scans: DataFrame, rec_id: str = "rec_id", headword: str = "kikongo",
 
     schema = T.StructType([T.StructField("rec_id", scans.schema[rec_id].dataType), *[T.StructField(n, T.IntegerType()) for n in ("line", "cut", "after")], T.StructField("raw", T.StringType()), T.StructField("word", T.StringType()), T.StructField("capitals", T.BooleanType()), T.StructField("kind", T.StringType())])
     tokens = materialize(entries.mapInPandas(read, schema))
-    own = tokens.where("word is not null and length(word) between 2 and 40")
+    own = tokens.where("word is not null")
     # a headword's words also count as words of the body, where the same language is quoted
     large = F.col("raw").rlike(r"^\p{Lu}")
     words = own.select("word", "capitals", large.alias("large")).union(own.where("capitals").select("word", F.lit(False), F.lit(False)))
@@ -315,7 +306,7 @@ def examine(scans: DataFrame, rec_id: str = "rec_id", headword: str = "kikongo",
 
     @F.pandas_udf(T.LongType())
     def hashed(w: pd.Series) -> pd.Series:
-        return w.map(anagram_hash).astype("int64")
+        return w.map(lambda x: anagram_hash(unaccented(x))).astype("int64")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def explain(w: pd.Series, n: pd.Series, v: pd.Series, m: pd.Series, c: pd.Series, names: pd.Series) -> pd.Series:
@@ -327,7 +318,7 @@ def examine(scans: DataFrame, rec_id: str = "rec_id", headword: str = "kikongo",
 
     rare = vocab.where("not word rlike '^[0-9]+$'").select("word", "capitals", "n", "name", F.explode(variants("word", "capitals")).alias("h"))
     frequent = vocab.where("n >= 2 and not word rlike '[0-9†]'").select(F.col("word").alias("true"), "capitals", F.col("n").alias("m"), hashed("word").alias("h"))
-    met = rare.join(frequent, ["h", "capitals"]).where("m >= if(name, 2, 6) * n").select("word", "capitals", "n", "name", "true", "m").distinct()
+    met = rare.join(frequent, ["h", "capitals"]).where("m >= if(name, 2, 6) * n").where(F.col("word") != F.col("true")).select("word", "capitals", "n", "name", "true", "m").distinct()
     fit = met.withColumn("at", explain("word", "n", "true", "m", "capitals", "name")).where("at is not null")
     rank = Window.partitionBy("word", "capitals").orderBy(F.desc(F.col("m") * F.pow(F.lit(0.2), F.size("at"))), "true")
     joined = fit.withColumn("r", F.row_number().over(rank)).where("r = 1").select("word", "capitals", "true", "at")
@@ -335,9 +326,10 @@ def examine(scans: DataFrame, rec_id: str = "rec_id", headword: str = "kikongo",
     # names (words never seen in small letters) without such a variant: judged by the letter groups of all names
     seen = {}
     named = vocab.where("name and length(word) >= 4 and not word rlike '[0-9†]'")
-    grams = named
-    grams = grams.select("capitals", "n", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(word)), i -> substring(concat('^', word, '$'), i, 3))"))).alias("g")).groupBy("capitals", "g").agg(F.sum("n").alias("n"))
-    for r in grams.limit(1_000_000).toLocalIterator():
+    grams = materialize(named.select("capitals", "n", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(word)), i -> substring(concat('^', word, '$'), i, 3))"))).alias("g")).groupBy("capitals", "g").agg(F.sum("n").alias("n")))
+    if grams.count() > MAX_GRAMS:
+        raise ValueError("the names have too many letter groups to be sent to every task")
+    for r in grams.toLocalIterator():
         seen.setdefault(r["capitals"], {})[r["g"]] = r["n"]
     known = scans.sparkSession.sparkContext.broadcast(seen)
 

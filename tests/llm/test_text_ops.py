@@ -137,6 +137,20 @@ def test_hash_differences_name_the_exchange():
     assert [at for at, _ in ocr.misreadings("rnodern", "modem", False)] == [0, 5] and ocr.misreadings("house", "mouse", False) is None
 
 
+def test_every_explained_misreading_is_a_candidate():
+    for word, true in [("eleves", "élèves"), ("peches", "péchés"), ("atualizacoes", "atualizações"), ("rnodeles", "modèlès"), ("a", "à"), ("d" * 30 + "rn" * 10 + "e", "d" * 30 + "rn" * 9 + "mé")]:
+        assert ocr.misreadings(word, true, False), word
+        assert ocr.anagram_hash(ocr.unaccented(true)) in ocr.variant_hashes(word, False), word
+
+
+def test_two_lost_accents_are_mended(spark):
+    body = ["les élèves chantent la pluie et les élèves portent la terre"] * 6 + ["les eleves chantent la pluie"]
+    scans = spark.createDataFrame([(i, None, body[:6]) for i in range(3)] + [(9, None, body)], "rec_id long, kikongo string, body array<string>")
+    found = ocr.examine(scans)
+    assert (9, 6, "char") in {tuple(r) for r in ocr.damage(found).collect()}
+    assert "eleves" not in {r.rec_id: r.text for r in ocr.repaired(found).collect()}[9]
+
+
 TEXT = {
     "en": "the old man walks along the river while children of the village sing about the rain and their mothers carry water home".split(),
     "fr": "le vieil homme marche près de la rivière pendant que les enfants du village chantent la pluie et leurs mères portent de l'eau".split(),
