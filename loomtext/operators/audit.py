@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import marker_pattern, strip, tokens
 
 MIN_FORM = 3
+MAX_LANGS = 1_000
 # fixed values: marker words by group
 MARKERS = {
     "kituba_tam": ["ke", "ta", "me", "vandaka", "salaka"],
@@ -18,6 +19,13 @@ MARKERS = {
     "religious": ["Yezu", "Yehowa", "Nzambi", "Biblia", "Kristu", "mpeve"],
 }
 
+# fixed values: function words for a language model where no text is at hand
+FALLBACK_MARKERS = {
+    "pt": ["não", "são", "está", "é", "este", "esta", "provérbio", "dos", "das", "um", "uma", "ao", "pelo", "para", "com", "porque", "também", "muito", "quem", "mas", "seu", "sua", "ou", "mais", "todos", "quando", "sobre"],
+    "fr": ["les", "des", "une", "dans", "est", "ce", "cette", "proverbe", "qui", "pour", "sur", "ne", "pas", "plus", "avec", "ses", "elle", "nous", "vous", "tout", "quand", "comme", "mais", "aussi", "leur", "sont"],
+    "en": ["the", "of", "and", "to", "is", "that", "who", "this", "saying", "when", "in", "for", "with", "his", "her", "they", "not", "are", "be", "will", "as", "by", "from", "one", "said", "which", "there"],
+}
+
 
 def ratio(hits: Column, total: Column) -> Column:
     """hits / total, 0 for an empty total."""
@@ -33,6 +41,11 @@ def marker_rates(df: DataFrame, by: list[str], text: str, markers: dict[str, lis
     return long.select(*by, "marker", "hits", "n", ratio(F.col("hits"), F.col("n")).alias("rate"))
 
 
+def pairs_within(items: str, a: str = "a", b: str = "b") -> Column:
+    """Every two elements of a sorted array of different values, as structs, the smaller first."""
+    return F.expr(f"flatten(transform({items}, (x, i) -> transform(slice({items}, i + 2, size({items})), y -> struct(x as {a}, y as {b}))))")
+
+
 def overlaps(df: DataFrame, corpus: str, text: str) -> DataFrame:
     """``a, b, shared, jaccard`` of every two corpora's distinct trimmed texts.
 
@@ -42,16 +55,17 @@ def overlaps(df: DataFrame, corpus: str, text: str) -> DataFrame:
     flat = df.select(F.col(corpus).alias("c"), strip(text).alias("t")).where("c is not null and t is not null").distinct()
     sizes = flat.groupBy("c").agg(F.count("*").alias("n"))
     sets = flat.groupBy("t").agg(F.sort_array(F.collect_set("c")).alias("cs")).where(F.size("cs") > 1)
-    pairs = sets.select(F.explode(F.expr("flatten(transform(cs, (x, i) -> transform(slice(cs, i + 2, size(cs)), y -> struct(x as a, y as b))))")).alias("p"))
+    pairs = sets.select(F.explode(pairs_within("cs")).alias("p"))
     shared = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
-    grid = sizes.select(F.col("c").alias("a"), F.col("n").alias("na")).join(sizes.select(F.col("c").alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b"))
+    ranked = sizes.agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("cs"))
+    grid = ranked.select(F.explode(pairs_within("cs")).alias("p")).select(F.col("p.a.c").alias("a"), F.col("p.b.c").alias("b"), F.col("p.a.n").alias("na"), F.col("p.b.n").alias("nb"))
     both = F.coalesce("shared", F.lit(0))
     return grid.join(shared, ["a", "b"], "left").select("a", "b", both.alias("shared"), ratio(both, F.col("na") + F.col("nb") - both).alias("jaccard"))
 
 
 def lexicon_forms(lexicons: DataFrame) -> DataFrame:
-    """``lexicon, form``: distinct lower-cased forms of at least three characters."""
-    return lexicons.select("lexicon", F.lower(strip("form")).alias("form")).where(F.length("form") >= MIN_FORM).distinct()
+    """``lexicon, form``: distinct lower-cased word forms of at least three characters; an entry of several words gives each of them."""
+    return lexicons.select("lexicon", F.explode(tokens("form")).alias("form")).where(F.length("form") >= MIN_FORM).distinct()
 
 
 def corpus_vocab(df: DataFrame, corpus: str, text: str) -> DataFrame:
@@ -72,9 +86,9 @@ def discriminative_coverage(vocab: DataFrame, forms: DataFrame, min_forms: int =
 
     A pair with fewer than ``min_forms`` forms on either side is left out; a tie leans to ``b``.
     """
-    names = forms.select("lexicon").distinct()
-    pairs = names.select(F.col("lexicon").alias("a")).join(names.select(F.col("lexicon").alias("b")), F.col("a") < F.col("b"))
-    sided = pairs.join(forms, (F.col("lexicon") == F.col("a")) | (F.col("lexicon") == F.col("b"))).groupBy("a", "b", "form").agg(F.min("lexicon").alias("x"), F.count("*").alias("k"))
+    pairs = forms.agg(F.sort_array(F.collect_set("lexicon")).alias("ls")).select(F.explode(pairs_within("ls")).alias("p")).select("p.*")
+    sides = pairs.withColumn("lexicon", F.explode(F.array("a", "b")))
+    sided = F.broadcast(sides).join(forms, "lexicon").groupBy("a", "b", "form").agg(F.min("lexicon").alias("x"), F.count("*").alias("k"))
     own = sided.where("k = 1").withColumn("side_a", F.col("x") == F.col("a"))
     sizes = own.groupBy("a", "b").agg(F.count_if("side_a").alias("only_a"), F.count_if(~F.col("side_a")).alias("only_b")).where((F.col("only_a") >= min_forms) & (F.col("only_b") >= min_forms))
     hits = own.join(vocab, "form").groupBy("corpus", "a", "b").agg(F.count_if("side_a").alias("ha"), F.count_if(~F.col("side_a")).alias("hb"))
@@ -116,12 +130,25 @@ def unigram_model(words: DataFrame) -> DataFrame:
     return n.withColumn("logp", F.log((F.col("count") + 1.0) / (F.sum("count").over(w) + F.count("*").over(w))))
 
 
+def marker_model(words: dict[str, list[str]], spark) -> DataFrame:
+    """The model of :func:`unigram_model` where no text is at hand: every marker counts once in its own language."""
+    return unigram_model(spark.createDataFrame([(lang, w) for lang, ws in words.items() for w in ws], "lang string, token string"))
+
+
 def score_lines(lines: DataFrame, model: DataFrame, unknown: float = -12.0) -> DataFrame:
-    """``line_id, lang, n_tokens, n_known, score``: the log-probability of each line under each language; a line without tokens scores 0."""
-    langs = model.select("lang").distinct()
-    words = lines.select("line_id", F.explode(tokens("line")).alias("token")).groupBy("line_id", "token").agg(F.count("*").alias("k"))
-    words = words.groupBy("line_id", "token").agg(F.sum("k").alias("k")).crossJoin(F.broadcast(langs))
-    hit = words.join(model.select("lang", "token", "logp"), ["lang", "token"], "left")
-    got = hit.groupBy("line_id", "lang").agg(F.sum("k").alias("n_tokens"), F.sum(F.when(F.col("logp").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"), F.sum(F.col("k") * F.coalesce("logp", F.lit(unknown))).alias("score"))
-    grid = lines.select("line_id").crossJoin(F.broadcast(langs)).join(got, ["line_id", "lang"], "left")
-    return grid.select("line_id", "lang", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_known", F.lit(0)).alias("n_known"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    """``line_id, lang, n_tokens, n_known, score``: the log-probability of each line under each language; a line without tokens scores 0.
+
+    A token meets its languages once, as one row with an array of them, so lines and
+    tokens are never multiplied by the languages before the last step; the languages are counted first.
+    """
+    langs = [r[0] for r in model.select("lang").distinct().orderBy("lang").limit(MAX_LANGS + 1).collect()]
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages in the model")
+    of = model.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("lang", "logp"))).alias("m"))
+    words = lines.select("line_id", F.explode_outer(tokens("line")).alias("token")).groupBy("line_id", "token").agg(F.count("*").alias("k"))
+    k = F.when(F.col("token").isNotNull(), F.col("k")).otherwise(0)
+    hit = words.join(of, "token", "left").withColumn("k", k)
+    logp = [F.try_element_at("m", F.lit(x)) for x in langs]
+    sums = hit.groupBy("line_id").agg(F.sum("k").alias("n_tokens"), *[c for i, p in enumerate(logp) for c in (F.sum(F.when(p.isNotNull(), F.col("k")).otherwise(0)).alias(f"n{i}"), F.sum(F.col("k") * F.coalesce(p, F.lit(unknown))).alias(f"s{i}"))])
+    rows = F.array(*[F.struct(F.lit(x).alias("lang"), F.col(f"n{i}").alias("n_known"), F.col(f"s{i}").alias("score")) for i, x in enumerate(langs)])
+    return sums.select("line_id", "n_tokens", F.explode(rows).alias("x")).select("line_id", "x.lang", "n_tokens", "x.n_known", "x.score")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize
+from ..session import discard, marks_of, materialize
 
 
-def _mark(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _write(links: DataFrame) -> DataFrame:
+    """The links as a table, with their number and a sum of their hashes taken on the way."""
+    return materialize(links, marks={"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))})
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -26,8 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
     nodes = materialize(e.select("a").union(e.select("b")).na.drop().distinct().withColumnRenamed("a", "node"))
     e = e.na.drop().where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    cur = materialize(e)
-    seen = _mark(cur)
+    cur = _write(e)
     for _ in range(max_rounds):
         both = cur.union(cur.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -36,12 +35,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        new = materialize(small.where("a <> b").distinct())
+        new = _write(small.where("a <> b").distinct())
+        settled = marks_of(new) == marks_of(cur)
         discard(cur)
-        now, cur = _mark(new), new
-        if now == seen:
+        cur = new
+        if settled:
             break
-        seen = now
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     root = cur.groupBy("a").agg(F.min("b").alias("root"))

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
-from collections import defaultdict, deque
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import align_key, fold, letter_tokens, split_lines, strip, tidy
-from ..session import materialize
+from ..functions.text import SPACE, align_key, fold, letter_tokens, split_lines, strip, tidy
+from ..session import discard, materialize
+from .scan import last_before, running_sum
 
 # fixed values: column headings and the spellings a scanner makes of them
 COLUMNS = {
@@ -24,14 +26,18 @@ COLUMNS = {
     "Kiswahili": ["Kiswahili"],
     "Tshiluba": ["Tshiluba"],
 }
+# fixed values: what closes a sentence, a bar at the left edge, a line of marks, the word for another wording, the marks around a word, and the weights of the segmentation
 END = r"""[.!?]\s*[»"”’')\]]*\s*$"""
 BAR = r"^\s*[|{}\[\]<>]\s*"
 NOISE = r"""^[\s|{}\[\]<>\\/_~^`'".,:;!*+=-]*$"""
 VARIANT = r"(?iu)^\s*yovo(?![\p{L}\p{N}_])\s*[:;.,-]?\s*"
+EDGE = ".,;:!?»«()|'’-"
+SMALL_RUN = 3
 UNKNOWN_LOGP = -12.0
 EMPTY_BLOCK = 20.0
 LANGS = ("pt", "fr", "en")
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+PAGES = 64  # pages of a book that are scanned as one range
+RANGE = 4_096  # entries that are numbered as one range
 
 
 # ---- fixed-width columns
@@ -118,25 +124,43 @@ def is_headword(c):
     return (letters >= 8) & (large >= 0.75 * letters)
 
 
-_LOWER_RUN = 3
-_EDGE = ".,;:!?»«()|'’-"
+def cut_headword(c: str) -> Column:
+    """``head, tail`` of a line: the capitals, and the translation that was merged onto it.
 
+    Capitals never make ``SMALL_RUN`` words with small letters in a row, so the first such run is
+    translation, together with the words of at most one letter or digit right before it. The flags of all
+    words are built once as an array; both cuts are the position of the first value sought in it.
+    """
+    marks = "".join("\\" + ch for ch in EDGE)
+    line = F.col(c)
+    words = F.filter(F.split(line, f"{SPACE}+"), lambda w: w != "")
+    return F.transform(
+        F.array(words),
+        lambda ws: F.transform(
+            F.array(_first_small_run(ws)),
+            lambda at: F.when(at == 0, F.struct(line.alias("head"), F.lit("").alias("tail"))).otherwise(_cut_at(ws, _kept_words(ws, at, marks))),
+        )[0],
+    )[0]
+
+
+def _first_small_run(words: Column) -> Column:
+    """Where the first ``SMALL_RUN`` words with small letters in a row begin, counted from 1, or 0."""
+    small = F.transform(words, lambda w: w.rlike(r"\p{IsLowercase}"))
+    runs = F.transform(small, lambda _, i: F.forall(F.slice(small, i + 1, SMALL_RUN), lambda y: y) & (i + SMALL_RUN <= F.size(small)))
+    return F.array_position(runs, True)
 
-def _cut(line: str) -> tuple[str, str]:
-    words = line.split()
-    small = [any(ch.islower() for ch in w) for w in words]
-    for i in range(len(words) - _LOWER_RUN + 1):
-        if all(small[i : i + _LOWER_RUN]):
-            while i and len(words[i - 1].strip(_EDGE)) <= 1:
-                i -= 1
-            return " ".join(words[:i]), re.sub(BAR, "", " ".join(words[i:]))
-    return line, ""
 
+def _kept_words(words: Column, at: Column, marks: str) -> Column:
+    """How many words before word ``at`` are the headword's: all up to the last one of two characters or more."""
+    before = F.slice(words, 1, (at - 1).cast("int"))
+    long_ = F.reverse(F.transform(before, lambda w: F.length(F.regexp_replace(w, f"^[{marks}]+|[{marks}]+$", "")) > 1))
+    back = F.array_position(long_, True)
+    return F.when(back == 0, 0).otherwise(at - back).cast("int")
 
-@F.pandas_udf(T.StructType([T.StructField("head", T.StringType()), T.StructField("tail", T.StringType())]))
-def cut_headword(s: pd.Series) -> pd.DataFrame:
-    """The capitals of a line, and the translation that was merged onto it from its first three words with small letters on."""
-    return pd.DataFrame([_cut(x) if x is not None else (None, None) for x in s], columns=["head", "tail"])
+
+def _cut_at(words: Column, n: Column) -> Column:
+    tail = F.array_join(F.slice(words, n + 1, F.size(words)), " ")
+    return F.struct(F.array_join(F.slice(words, F.lit(1), n), " ").alias("head"), F.regexp_replace(tail, BAR, "").alias("tail"))
 
 
 def split_entries(lines: DataFrame) -> DataFrame:
@@ -144,33 +168,34 @@ def split_entries(lines: DataFrame) -> DataFrame:
 
     A headword may wrap over lines: after an open one everything up to the next
     closing line belongs to it. Each line either closes, opens or keeps that
-    state, so the state before a line is the last change before it, a window;
-    entries are islands of a running count, and entries without body or variant flow into the next one.
+    state, so the state before a line is the last change before it; entries are
+    islands of a running count, and both run over ranges of ``PAGES`` pages (see
+    :mod:`scan`), so a book of any length has as many tasks as ranges.
     """
-    w = Window.partitionBy("book").orderBy("page", "no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    l = lines.withColumn("c", cut_headword("line"))
+    order = ["page", "no"]
+    l = lines.withColumn("c", cut_headword("line")).withColumn("part", F.floor(F.col("page") / PAGES))
     head_line, ends = is_headword("line"), F.col("line").rlike(END)
     opens = head_line & ~ends & ~F.col("c.head").rlike(END) & (F.col("c.tail") == "")
     change = F.when(ends | ~head_line, F.lit(0)).when(opens, F.lit(1))
     l = l.withColumn("hw", head_line).withColumn("change", change)
-    l = l.withColumn("inside", F.coalesce(F.last("change", True).over(before), F.lit(0)) == 1)
+    l = last_before(l, "book", "part", order, F.col("change"), "state")
+    l = l.withColumn("inside", F.coalesce("state", F.lit(0)) == 1)
     closing = ends | ~F.col("hw")
     starts = F.col("hw") & ~F.col("inside")
     # a headword's lines share a number; it stands complete on its closing line, or on a lone line of its own
-    l = l.withColumn("hno", F.sum(starts.cast("int")).over(w))
+    l = running_sum(l, "book", "part", order, starts.cast("int"), "hno")
     l = l.withColumn("in_head", F.col("hw") & ~F.col("inside") | F.col("inside"))
     l = l.withColumn("body_line", F.when(~F.col("in_head"), F.col("line")).when(F.col("inside") & closing, F.col("c.tail")).when(starts & (F.col("change").isNull() | (F.col("change") == 0)), F.col("c.tail")))
     l = l.where("hno > 0")
     parts = l.groupBy("book", "hno").agg(
-        F.min(F.struct("page", "no")).alias("first"), F.max(F.when(F.col("in_head"), F.struct("page", "no"))).alias("last"),
+        F.max(F.when(F.col("in_head"), F.struct("page", "no"))).alias("last"),
         F.sort_array(F.collect_list(F.when(F.col("in_head") & (F.col("c.head") != ""), F.struct("page", "no", F.col("c.head").alias("t"))))).alias("h"),
         F.sort_array(F.collect_list(F.when(F.coalesce("body_line", F.lit("")) != "", F.struct("page", "no", F.col("body_line").alias("t"))))).alias("b"),
     )
-    e = parts.select("book", "hno", F.col("last.page").alias("page"), F.col("last.no").alias("no"), F.array_join("h.t", " ").alias("head"), F.col("b.t").alias("body"))
+    e = materialize(parts.select("book", "hno", F.col("last.page").alias("page"), F.col("last.no").alias("no"), F.array_join("h.t", " ").alias("head"), F.col("b.t").alias("body")))
     # a line "Yovo: ..." is another wording of the entry before it, whose body goes on
-    by = Window.partitionBy("book").orderBy("hno")
-    e = e.withColumn("is_var", F.col("head").rlike(VARIANT) & (F.row_number().over(by) > 1)).withColumn("entry", F.sum((~F.col("is_var")).cast("int")).over(by))
+    e = e.withColumn("is_var", F.col("head").rlike(VARIANT) & (F.col("hno") > 1)).withColumn("part", F.floor(F.col("hno") / RANGE))
+    e = running_sum(e, "book", "part", ["hno"], (~F.col("is_var")).cast("int"), "entry")
     e = e.groupBy("book", "entry").agg(
         F.min_by("head", "hno").alias("kikongo"), F.min_by("page", "hno").alias("page"), F.min_by("no", "hno").alias("no"),
         F.max_by(F.when(F.col("is_var"), F.regexp_replace("head", VARIANT, "")), F.when(F.col("is_var"), F.col("hno"))).alias("variant"),
@@ -181,9 +206,8 @@ def split_entries(lines: DataFrame) -> DataFrame:
 
 def merge_bodyless(entries: DataFrame) -> DataFrame:
     """An entry without body and variant is put before the next one's headword, with its page; a last one stays."""
-    w = Window.partitionBy("book").orderBy("entry")
     full = (F.size("body") > 0) | (F.col("variant") != "")
-    e = entries.withColumn("g", F.coalesce(F.sum(full.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    e = running_sum(entries.withColumn("part", F.floor(F.col("entry") / RANGE)), "book", "part", ["entry"], full.cast("int"), "g", inclusive=False)
     return e.groupBy("book", "g").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry", "kikongo"))), lambda x: x.kikongo), " ").alias("kikongo"),
         F.min_by("page", "entry").alias("page"), F.min_by("no", "entry").alias("no"), F.max_by("variant", "entry").alias("variant"), F.max_by("body", "entry").alias("body"),
@@ -191,17 +215,26 @@ def merge_bodyless(entries: DataFrame) -> DataFrame:
 
 
 def _blocks(body: list[str], logp: dict[str, dict[str, float]]) -> tuple[int, int]:
-    """The cut points of the blocks pt, fr, en with the best total score; the first best in order."""
+    """The cut points of the blocks pt, fr, en with the best total score; the first best in order.
+
+    ``gain[i]`` is what lines 0 to i - 1 gain as pt over fr, ``loss[j]`` what lines 0 to j - 1 gain as fr over
+    en. Of all first cuts up to j only the best counts, which is a running maximum, so one pass over the lines does it.
+    """
     words = [re.findall(r"[^\W\d_]+", x.lower()) for x in body]
-    run = {lang: [0.0] for lang in LANGS}
-    for lang in LANGS:
-        known = logp.get(lang, {})
-        for ws in words:
-            run[lang].append(run[lang][-1] + sum(known.get(w, UNKNOWN_LOGP) for w in ws))
-    n, (pt, fr, en) = len(body), (run[lang] for lang in LANGS)
-    tries = ((pt[i] + fr[j] - fr[i] + en[n] - en[j] - EMPTY_BLOCK * ((i == 0) + (j == i) + (j == n)), -i, -j) for i in range(n + 1) for j in range(i, n + 1))
-    _, i, j = max(tries)
-    return -i, -j
+    score = np.array([[sum(logp.get(lang, {}).get(w, UNKNOWN_LOGP) for w in ws) for lang in LANGS] for ws in words]).reshape(len(words), len(LANGS))
+    run = np.vstack([np.zeros(len(LANGS)), score.cumsum(axis=0)])
+    # rounded, so that equal lines tie whatever the order in which their sums were taken
+    gain, loss = np.round(run[:, 0] - run[:, 1], 6), np.round(run[:, 1] - run[:, 2], 6)
+    gain[0] -= EMPTY_BLOCK
+    loss[-1] -= EMPTY_BLOCK
+    first, best = 0, (-np.inf, 0, 0)
+    for j in range(len(gain)):
+        # an empty block between the cuts costs; otherwise the first cut is the best one before j
+        tries = [(round(gain[j] + loss[j] - EMPTY_BLOCK, 6), -j, -j)] + [(round(gain[first] + loss[j], 6), -first, -j)] * (first < j)
+        best = max(best, *tries)
+        if gain[j] > gain[first]:
+            first = j
+    return -best[1], -best[2]
 
 
 def segment_languages(entries: DataFrame, model: DataFrame, body: str = "body") -> DataFrame:
@@ -250,38 +283,75 @@ def align_exact(primary: DataFrame, secondary: DataFrame, values: list[str], hea
     return j.select(*[F.when(F.col("other").isNotNull(), F.col(f"other.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in primary.columns], F.col("other").isNotNull().alias("matched"), "key", "nth")
 
 
-def align_fuzzy(primary: DataFrame, secondary: DataFrame, values: list[str], head: str = "kikongo", order: str = "ordinal", cutoff: float = 0.9, most: int = 20_000) -> DataFrame:
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    out, matcher = [], difflib.SequenceMatcher()
+    for x, y in zip(a, b):
+        matcher.set_seq2(x)
+        matcher.set_seq1(y)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype=float)
+
+
+def close_keys(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """``key, other, ratio`` of every two keys of the two tables whose ``difflib`` ratio reaches ``cutoff``.
+
+    Two such keys differ in at most d = (1 - cutoff) x (both lengths) letters put in or
+    taken out, so of any d + 1 pieces of the one, one stands unchanged in the other, moved
+    by at most d. The left keys send their pieces, the right ones all their
+    substrings of such lengths; what meets is checked by the letters in common and then by the ratio itself.
+    """
+    most = F.floor((1 - cutoff) * (F.col("n") + F.floor(F.col("n") * (2 - cutoff) / cutoff)) + 1e-9).cast("int")
+    a = left.select("key").distinct().withColumn("n", F.length("key")).withColumn("d", most)
+    a = a.withColumn("k", F.least(F.col("d") + 1, F.col("n")))
+    pieces = a.select("key", "n", "d", F.explode(F.expr("transform(sequence(0, k - 1), i -> struct(cast(floor(i * n / k) as int) as at, cast(floor((i + 1) * n / k) as int) - cast(floor(i * n / k) as int) as size))")).alias("p"))
+    pieces = pieces.select("key", "n", "d", F.col("p.at").alias("at"), F.expr("substring(key, p.at + 1, p.size)").alias("piece"))
+    sizes = sorted(r[0] for r in pieces.select(F.length("piece")).distinct().collect())
+    b = right.select(F.col("key").alias("other")).distinct().withColumn("m", F.length("other"))
+    spans = b.select("other", "m", F.explode(F.array(*[F.lit(x) for x in sizes] or [F.lit(1)])).alias("size")).where("size <= m").select("other", "m", F.explode(F.expr("transform(sequence(0, m - size), i -> struct(i as pos, substring(other, i + 1, size) as piece))")).alias("s")).select("other", "m", "s.*")
+    met = pieces.join(spans, "piece").where("abs(at - pos) <= d").where(F.least("n", "m") * 2 >= cutoff * (F.col("n") + F.col("m")) - 1e-9).select("key", "other").distinct()
+    common = None
+    for ch in "abcdefghijklmnopqrstuvwxyz":
+        of = [F.length(c) - F.length(F.replace(F.col(c), F.lit(ch), F.lit(""))) for c in ("key", "other")]
+        common = F.least(*of) if common is None else common + F.least(*of)
+    met = met.where(2 * common >= cutoff * (F.length("key") + F.length("other")) - 1e-9)
+    _ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return met.withColumn("ratio", F.pandas_udf(_ratio, T.DoubleType())(F.col("key"), F.col("other"))).where(F.col("ratio") >= cutoff)
+
+
+def align_fuzzy(primary: DataFrame, secondary: DataFrame, values: list[str], head: str = "kikongo", order: str = "ordinal", cutoff: float = 0.9) -> DataFrame:
     """Exact alignment, then close matches of at least ``cutoff`` among what is left, each secondary row used once, in the order of the primary.
 
-    Matching the rest is sequential, for a match takes its row from later ones;
-    the rest of a book is small and its size is checked. Keys are only compared if
-    the letters they have in common allow a ratio of ``cutoff``.
+    A match takes its row from later ones, yet the result is that of going
+    through the rows one by one: in a round every open row names its best key
+    that has rows left, and the choice stands if fewer open rows before it could want that
+    key than it has rows. The first open row always stands, so the rounds end;
+    all of them are joins over the close pairs only.
     """
     exact = materialize(align_exact(primary, secondary, values, head, order))
-    used = exact.where("matched").select("key", "nth")
     w = Window.partitionBy("key").orderBy(order)
-    spare = secondary.withColumn("key", align_key(F.col(head))).withColumn("nth", F.row_number().over(w)).join(used, ["key", "nth"], "left_anti")
-    rest = exact.where("not matched and key <> ''").select(order, "key").orderBy(order).limit(most + 1).collect()
-    pool = spare.where("key <> ''").select("key", order, *values).orderBy(order).limit(most + 1).collect()
-    if len(rest) > most or len(pool) > most:
-        raise ValueError("too many rows are left for close matching")
-    waiting: dict[str, deque] = defaultdict(deque)
-    for r in pool:
-        waiting[r["key"]].append(r)
-    keys = sorted(waiting)
-    letters = np.array([[k.count(c) for c in _ALPHABET] for k in keys], np.int32).reshape(len(keys), len(_ALPHABET))
-    size = letters.sum(axis=1)
-    hits = []
-    for r in rest:
-        mine = np.array([r["key"].count(c) for c in _ALPHABET], np.int32)
-        # letters in common bound the ratio from above, so nothing that could match is left out
-        bound = 2 * np.minimum(letters, mine).sum(axis=1) >= cutoff * (size + mine.sum()) - 1e-9
-        best = difflib.get_close_matches(r["key"], [keys[i] for i in np.flatnonzero(bound) if waiting[keys[i]]], n=1, cutoff=cutoff)
-        if best:
-            other = waiting[best[0]].popleft()
-            hits.append((r[order], *[other[v] for v in values]))
-    types = {f.name: f.dataType for f in primary.schema.fields}
-    schema = T.StructType([T.StructField("_o", types[order]), *[T.StructField(f"_{v}", types[v]) for v in values]])
-    got = F.broadcast(primary.sparkSession.createDataFrame(hits, schema))
+    used = exact.where("matched").select("key", "nth")
+    spare = secondary.withColumn("key", align_key(F.col(head))).withColumn("nth", F.row_number().over(w)).join(used, ["key", "nth"], "left_anti").where("key <> ''")
+    spare = materialize(spare.select("key", order, *values).withColumn("nth", F.row_number().over(w)))
+    rest = exact.where("not matched and key <> ''").select("key", order)
+    near = materialize(close_keys(rest, spare, cutoff))
+    open_ = materialize(rest.join(near, "key").select(F.col(order).alias("o"), "other", "ratio"))
+    room = materialize(spare.groupBy(F.col("key").alias("other")).agg(F.count("*").alias("room")).join(near.select("other").distinct(), "other"))
+    taken = []
+    while True:
+        wants = open_.join(room, "other").withColumn("place", F.row_number().over(Window.partitionBy("other").orderBy("o")))
+        best = wants.withColumn("r", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("ratio"), F.desc("other")))).where("r = 1 and place <= room")
+        got = materialize(best.select("o", "other"))
+        if got.isEmpty():
+            break
+        taken.append(got)
+        left = materialize(open_.join(got.select("o"), "o", "left_anti"))
+        more = materialize(room.join(got.groupBy("other").agg(F.count("*").alias("gone")), "other", "left").select("other", (F.col("room") - F.coalesce("gone", F.lit(0))).alias("room")).where("room > 0"))
+        discard(open_)
+        discard(room)
+        open_, room = left, more
+    if not taken:
+        return exact.select(*primary.columns, "matched")
+    hits = functools.reduce(DataFrame.union, taken).withColumn("nth", F.row_number().over(Window.partitionBy("other").orderBy("o")))
+    got = hits.join(spare.select(F.col("key").alias("other"), "nth", *[F.col(v).alias(f"_{v}") for v in values]), ["other", "nth"]).select(F.col("o").alias("_o"), *[f"_{v}" for v in values])
     j = exact.join(got, exact[order] == got["_o"], "left")
     return j.select(*[F.when(F.col("_o").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in primary.columns], (F.col("matched") | F.col("_o").isNotNull()).alias("matched"))

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 
-def number_rows(df: DataFrame, ordinal: str = "ordinal", parts: int = 64) -> DataFrame:
+
+def number_rows(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Adds ``position``, counted from 0 in the order of ``ordinal``, without one task for all rows.
 
-    Rows are sorted in ranges; the sizes of the ranges (one number each) give every
-    range its offset.
+    Rows are sorted in ranges, as many as the session shuffles into; a row's range
+    and its place in it are written down once, because the bounds of the ranges come
+    from a sample that another run of the same plan would draw anew. The sizes of
+    the ranges (a row each) give every range its offset. Rows of one ordinal are
+    numbered in any order; an empty table stays empty.
     """
-    ranged = df.repartitionByRange(parts, ordinal).sortWithinPartitions(ordinal).withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
-    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    offsets, total = {}, 0
-    for part in sorted(sizes):
-        offsets[part] = total
-        total += sizes[part]
-    if not offsets:
-        return ranged.withColumn("position", F.lit(0).cast("long")).drop("_id", "_part", "_at")
-    table = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    return ranged.withColumn("position", table[F.col("_part")] + F.col("_at")).drop("_id", "_part", "_at")
+    ranged = df.repartitionByRange(F.col(ordinal)).sortWithinPartitions(ordinal).withColumn("_id", F.monotonically_increasing_id())
+    ranged = materialize(ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_offset") + F.col("_at")).drop("_part", "_at", "_offset")
+
+
+def seeded_order(c: Column | str, seed: int) -> Column:
+    """The md5 of ``seed:value``: a seeded order that any SQL engine can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col(c) if isinstance(c, str) else c).cast("string")))
 
 
 def sample_ladder(df: DataFrame, n: int, how: str = "stratified", seed: int = 13, ordinal: str = "ordinal") -> DataFrame:
@@ -40,7 +45,7 @@ def sample_ladder(df: DataFrame, n: int, how: str = "stratified", seed: int = 13
     if how == "top":
         return df.orderBy(ordinal).limit(n)
     if how == "random":
-        return df.orderBy(F.xxhash64(F.lit(seed), F.col(ordinal)), ordinal).limit(n)
+        return df.orderBy(seeded_order(ordinal, seed), ordinal).limit(n)
     i = F.ceil(F.col("position") * F.lit(float(n)) / F.lit(float(total)))
     hits = [(i + k).cast("double") * F.lit(total / n) for k in (-1, 0, 1)]
     on = F.lit(False)

@@ -68,9 +68,9 @@ def corpus_chrf(pairs: DataFrame, key: list[str], hyp: str = "hyp", ref: str = "
     return avg.select(*key, F.when(b2 * F.col("p") + F.col("r") > 0, 100 * (1 + b2) * F.col("p") * F.col("r") / (b2 * F.col("p") + F.col("r"))).otherwise(0.0).alias("chrf"))
 
 
-def corpus_bleu(pairs: DataFrame, key: list[str], hyp: str = "hyp", ref: str = "ref", most: int = 4) -> DataFrame:
-    """``*key, bleu``: BLEU of Papineni et al. (2002), one reference, exponential smoothing of orders without a match."""
-    m = ngram_matches(pairs, [(bleu_words, n) for n in range(1, most + 1)], key, hyp, ref)
+def corpus_bleu(pairs: DataFrame, key: list[str], hyp: str = "hyp", ref: str = "ref", most: int = 4, words: Callable[[str], list[str]] = bleu_words) -> DataFrame:
+    """``*key, bleu``: BLEU of Papineni et al. (2002), one reference, exponential smoothing of orders without a match; ``words`` is the tokenizer (a subword one gives spBLEU)."""
+    m = ngram_matches(pairs, [(words, n) for n in range(1, most + 1)], key, hyp, ref)
     zeros = F.sum((F.col("hit") == 0).cast("int")).over(Window.partitionBy(*key).orderBy("o"))
     prec = F.when(F.col("hyp") == 0, F.lit(None)).when(F.col("hit") == 0, 1.0 / (F.pow(F.lit(2.0), zeros) * F.col("hyp"))).otherwise(F.col("hit") / F.col("hyp"))
     got = m.withColumn("lp", F.log(prec)).groupBy(*key).agg(F.sum(F.coalesce("lp", F.lit(-1e9))).alias("s"), F.max(F.when(F.col("o") == 0, F.col("hyp"))).alias("h"), F.max(F.when(F.col("o") == 0, F.col("ref"))).alias("r"))

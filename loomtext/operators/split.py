@@ -9,8 +9,9 @@ from ..functions.text import normalize_text
 from ..session import materialize
 from .clean import clean_pairs, first_of
 from .components import connected_components
+from .sample import seeded_order
 
-MAX_GROUPS = 5_000_000
+BATCH = 10_000
 
 
 def linked_components(rows: DataFrame, group: str = "group_id", sides: tuple[str, ...] = ("src", "trg")) -> DataFrame:
@@ -40,10 +41,10 @@ def pack_groups(sizes: DataFrame, group: str = "component", seed: int = 13, most
 
     Test gets min(``most_test``, a quarter) of the rows and dev half of that, in the mixture of
     kinds; a group goes to test, else dev, if that brings its count strictly closer to the
-    target, else to train. The decision is sequential, but a group larger than
-    twice a target can never go there, so only groups within that
-    reach are brought to the driver, in hash order and only until the
-    targets are met; all others are train. Their number is checked.
+    target, else to train. The decision is sequential, but a group fits
+    only while it is smaller than twice what a target still lacks. So the driver asks for the next
+    ``BATCH`` groups that fit, places them, and asks again with what is lacking
+    then: the first of each batch is always placed, there are few batches, and no group is ever left out.
     """
     totals = {r["kind"]: r["n"] for r in sizes.groupBy("kind").agg(F.sum("size").alias("n")).collect()}
     every = sum(totals.values())
@@ -51,25 +52,35 @@ def pack_groups(sizes: DataFrame, group: str = "component", seed: int = 13, most
     spark = sizes.sparkSession
     chosen: list[tuple] = []
     for kind, total in sorted(totals.items()):
-        want = {"test": round(total * n_test / every), "dev": round(total * (n_test // 2) / every)}
-        counts = {"test": 0, "dev": 0}
-        reach = 2 * max(want.values())
-        order = sizes.where((F.col("kind") == kind) & (F.col("size") <= reach)).select(group, "size").orderBy(F.xxhash64(F.lit(seed), F.col(group)), group).limit(MAX_GROUPS)
-        for g, size in order.toLocalIterator():
-            for name in ("test", "dev"):
-                if abs(counts[name] + size - want[name]) < abs(counts[name] - want[name]):
-                    counts[name] += size
-                    chosen.append((g, name))
-                    break
-            if counts == want:
+        lacking = {"test": round(total * n_test / every), "dev": round(total * (n_test // 2) / every)}
+        keyed = sizes.where(F.col("kind") == kind).select(seeded_order(group, seed).alias("h"), F.col(group).alias("g"), "size")
+        last = None
+        while max(lacking.values()) > 0:
+            fits = keyed.where(F.col("size") < 2 * max(lacking.values()))
+            if last is not None:
+                fits = fits.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("g") > last[1])))
+            batch = fits.orderBy("h", "g").limit(BATCH).collect()
+            for r in batch:
+                for name in ("test", "dev"):
+                    if abs(lacking[name] - r["size"]) < abs(lacking[name]):
+                        lacking[name] -= r["size"]
+                        chosen.append((r["g"], name))
+                        break
+            if len(batch) < BATCH:
                 break
+            last = batch[-1]["h"], batch[-1]["g"]
     placed = spark.createDataFrame(chosen or [(None, None)], f"{group} {sizes.schema[group].dataType.simpleString()}, split string")
     return sizes.join(F.broadcast(placed), group, "left").select(group, F.coalesce("split", F.lit("train")).alias("split"))
 
 
 def split_pairs(rows: DataFrame, seed: int = 13) -> DataFrame:
-    """Rows with ``component`` and ``split``: linked before cleaning, then cleaned, deduplicated by normalised source and packed."""
-    comp = linked_components(rows)
-    kept = clean_pairs(rows).join(comp, "group_id")
+    """Rows with ``component`` and ``split``: linked before cleaning, then cleaned, deduplicated by normalised source and packed.
+
+    A row without a group is a group of its own, and linked by its texts like any other.
+    """
+    own = F.coalesce("group_id", F.concat(F.lit("row:"), F.col("ordinal").cast("string")))
+    rows = rows.withColumn("_group", own)
+    comp = linked_components(rows, "_group")
+    kept = clean_pairs(rows).join(comp, "_group").drop("_group")
     kept = materialize(first_of(kept.withColumn("_n", normalize_text(F.col("src"))), ["_n"]).drop("_n"))
     return kept.join(pack_groups(group_sizes(kept), seed=seed), "component")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,13 +66,24 @@ def predict(df: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]],
     return df.withColumn(out, F.pandas_udf(run, T.StringType())(F.col(text)))
 
 
-def evaluate(predictions: DataFrame, run: str, key: str = "eval") -> DataFrame:
-    """``run, eval, metric, value`` of predictions ``(eval, hyp, ref)``."""
-    chrf = score.corpus_chrf(predictions, [key]).select(key, F.lit("chrf").alias("metric"), F.col("chrf").alias("value"))
-    bleu = score.corpus_bleu(predictions, [key]).select(key, F.lit("bleu").alias("metric"), F.col("bleu").alias("value"))
-    return chrf.union(bleu).select(F.lit(run).alias("run"), F.col(key).alias("eval"), "metric", "value")
+def evaluate(predictions: DataFrame, run: str, key: str = "eval", pieces: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """``run, eval, metric, value`` of predictions ``(eval, hyp, ref)``: chrF++, BLEU, and spBLEU where ``pieces``, a subword tokenizer, is given.
 
+    Without one spBLEU is left out, and that is said.
+    """
+    named = lambda df, c: df.select(key, F.lit(c).alias("metric"), F.col(df.columns[-1]).alias("value"))
+    out = named(score.corpus_chrf(predictions, [key]), "chrf++").union(named(score.corpus_bleu(predictions, [key]), "bleu"))
+    if pieces is None:
+        print("spBLEU left out: no subword tokenizer is given")
+    else:
+        out = out.union(named(score.corpus_bleu(predictions, [key], words=pieces), "spbleu"))
+    return out.select(F.lit(run).alias("run"), F.col(key).alias("eval"), "metric", "value")
 
-def finished(path: str) -> bool:
-    """Whether a run has left its mark; a finished run isn't written over."""
-    return os.path.exists(os.path.join(path, "complete.json"))
+
+def stage(spark: SparkSession, path: str, key: str, make: Callable[[str], None]) -> bool:
+    """Runs ``make(path)`` and leaves the completion mark, unless the mark is already there; tells whether it ran."""
+    if sinks.finished(spark, path):
+        return False
+    make(path)
+    sinks.mark_complete(spark, path, key)
+    return True

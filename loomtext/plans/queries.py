@@ -12,7 +12,7 @@ from ..sources import readers, sinks
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lin_smol").select(F.col("row_id").alias("ordinal"), "src", "trg", "origin", "document_id")
+    return table(spark, d, "lin_smol").select(F.col("row_id").alias("ordinal"), "src", "trg", "origin", clean_id("document_id").alias("document_id"))
 
 
 def _target(spark: SparkSession, d: str) -> DataFrame:
@@ -100,10 +100,21 @@ def lang_lm_score(spark: SparkSession, d: str) -> DataFrame:
     return audit.score_lines(lines, _model(spark, d)).select("line_id", "lang", "n_tokens", "n_known", F.round("score", 4).alias("score"))
 
 
+def lang_lm_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The model of the marker words alone, for use where no text is at hand."""
+    return audit.marker_model(audit.FALLBACK_MARKERS, spark).select("lang", "token", "count", F.round("logp", 6).alias("logp"))
+
+
 def decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontam.exclude_blocked(_pairs(spark, d), _held(spark, d)).select("ordinal", "origin", "document_id")
 
 
+def decontaminate_blocked(spark: SparkSession, d: str) -> DataFrame:
+    """As ``decontaminate``, where documents of the target rows are blocked by their ids as well."""
+    ids = _target(spark, d).where("document_id is not null").select("document_id").distinct()
+    return decontam.exclude_blocked(_pairs(spark, d), _held(spark, d), ids).select("ordinal", "origin", "document_id")
+
+
 def review_reviewed(spark: SparkSession, d: str) -> DataFrame:
     return decontam.split_by_keys(_pairs(spark, d), table(spark, d, "smol_test"), ["src"])[0].select("ordinal", "src")
 
@@ -158,10 +169,33 @@ def target_rows(spark: SparkSession, d: str) -> DataFrame:
     return readers.target_rows(single, table(spark, d, "smoldoc_en_kg"))
 
 
+def _columns(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned entries as pages of a word list of four columns: heading, then the words of each line spread over the columns."""
+    p = table(spark, d, "proverbs_ocr")
+    word = "rpad(left(coalesce(try_element_at(split(regexp_replace(x, '[^a-zA-Z ]', ''), ' +'), {0}), ''), 11), 12, ' ')"
+    lines = F.expr("transform(filter(body, x -> x is not null), x -> concat(" + ", ".join(word.format(i) for i in (1, 2, 3, 4)) + "))")
+    head = F.lit("".join(c.ljust(12) for c in ("English", "Francais", "Lingala", "Kikongo")))
+    # every third page goes on under the heading of the page before
+    text = F.when(F.col("rec_id") % 3 == 0, F.array_join(lines, "\n")).otherwise(F.concat_ws("\n", head, F.array_join(lines, "\n")))
+    return p.select(F.col("ocr_pass").alias("book"), F.col("rec_id").cast("int").alias("page"), text.alias("text"))
+
+
 def lexicon_words(spark: SparkSession, d: str) -> DataFrame:
-    """Word counts for each language label (the group count of the column extractor)."""
-    words = table(spark, d, "flores_devtest").select("lang", F.explode(tokens("text")).alias("form")).where(F.length("form") >= 3)
-    return words.groupBy("lang", "form").agg(F.count("*").alias("n")).where("n >= 2")
+    return extract.fixed_width_words(_columns(spark, d))
+
+
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    return readers.page_lines(_pages(spark, d))
+
+
+def form_feed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of each work as one layout text, cut at its form feeds."""
+    books = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("book"), F.replace("text", F.lit("\n\n"), F.lit("\f")).alias("text"))
+    return readers.form_feed_pages(books).select("book", "page", F.length("text").alias("n_chars"))
+
+
+def pivot_registry(spark: SparkSession, d: str) -> DataFrame:
+    return readers.pivot_registry(spark).select("key", "name", "iso", "family", "rows")
 
 
 def clean_page(spark: SparkSession, d: str) -> DataFrame:
@@ -222,42 +256,49 @@ def headword_harvest(spark: SparkSession, d: str) -> DataFrame:
     return extract.harvest_headwords(_text_lines(spark, d), fr, least=1)
 
 
+def _hyps(spark: SparkSession, d: str) -> DataFrame:
+    """How far the corpora's targets are their sources: hypothesis src, reference trg."""
+    return table(spark, d, "smol_test").select("split", F.col("src").alias("hyp"), F.col("trg").alias("ref"))
+
+
 def score_chrf(spark: SparkSession, d: str) -> DataFrame:
-    """How far the corpora's targets are their sources: hypothesis src, reference trg, by label."""
-    p = table(spark, d, "smol_test").select("split", F.col("src").alias("hyp"), F.col("trg").alias("ref"))
-    return score.corpus_chrf(p, ["split"])
+    return score.corpus_chrf(_hyps(spark, d), ["split"]).select("split", F.round("chrf", 6).alias("chrf"))
 
 
 def score_bleu(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "smol_test").select("split", F.col("src").alias("hyp"), F.col("trg").alias("ref"))
-    return score.corpus_bleu(p, ["split"])
+    return score.corpus_bleu(_hyps(spark, d), ["split"]).select("split", F.round("bleu", 6).alias("bleu"))
 
 
 def run_table(spark: SparkSession, d: str) -> DataFrame:
-    """Lengths of the test material as the metrics of two runs."""
+    """Lengths of the test material as the metrics of two runs, with the settings of one of them."""
     t = table(spark, d, "smol_test")
     m = t.groupBy(F.col("split").alias("run")).agg(F.count("*").cast("double").alias("rows"), F.countDistinct("document_id").cast("double").alias("docs"))
     long = m.select("run", F.lit("size").alias("eval"), F.explode(F.create_map(F.lit("rows"), F.col("rows"), F.lit("docs"), F.col("docs"))).alias("metric", "value"))
-    return score.collate_runs(long)
+    return score.collate_runs(long, spark.createDataFrame([("test", "lin", 50_000)], "run string, pivot string, pivot_size int"))
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for x in ("kg", "Kikongo", "ln", "Lingala", "sw", "Swahili")])
-    lang = clean_id("trg_lang")
-    return table(spark, d, "lin_smol").select("row_id", F.concat(F.lit("translate English to "), F.coalesce(names[lang], lang, F.lit("und")), F.lit(": "), strip("src")).alias("prompt"))
+    name = readers.language_name("trg_lang", readers.LANG_NAMES | {"kg": "Kikongo", "ln": "Lingala", "sw": "Swahili"})
+    return table(spark, d, "lin_smol").select("row_id", F.concat(F.lit("translate English to "), name, F.lit(": "), strip("src")).alias("prompt"))
 
 
 def row_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+def file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The data hashes of a run: one for each of its (small) input files."""
+    files = [f"{d}/{t}.parquet" for t in ("lexicons", "gatitos_en_kg", "flores_devtest")]
+    return sinks.file_hashes(spark, files).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "sha256")
+
+
 def review_sheet(spark: SparkSession, d: str) -> DataFrame:
     return sinks.review_sheet(_pairs(spark, d), 100).select("ordinal", "src", "trg", "meaning_preserved", "fluent", "correct_language", "notes")
 
 
 QUERIES = {f.__name__: f for f in (
     clean_pairs, dedup_normalized, ladder_top, ladder_stratified, ladder_random, marker_rates, overlap, lexicon_raw, lexicon_discriminative, bootstrap_identity,
-    lang_lm_train, lang_lm_score, decontaminate, review_reviewed, review_pending, leak_report, eligible_pool, provenance, components, group_sizes, greedy_split, split_audit,
-    zip_explode, zip_rejected, explode_lexicon, target_rows, lexicon_words, clean_page, dehyphenate, headword_lines, entries, proverb_records, translation_counts,
-    align_exact, align_fuzzy, headword_counts, headword_harvest, score_chrf, score_bleu, run_table, prompts, row_hashes, review_sheet,
+    lang_lm_train, lang_lm_fallback, lang_lm_score, decontaminate, decontaminate_blocked, review_reviewed, review_pending, leak_report, eligible_pool, provenance, components, group_sizes, greedy_split, split_audit,
+    zip_explode, zip_rejected, explode_lexicon, target_rows, lexicon_words, page_lines, form_feed_pages, pivot_registry, clean_page, dehyphenate, headword_lines, entries, proverb_records, translation_counts,
+    align_exact, align_fuzzy, headword_counts, headword_harvest, score_chrf, score_bleu, run_table, prompts, row_hashes, file_hashes, review_sheet,
 )}

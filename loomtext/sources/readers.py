@@ -8,24 +8,51 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import split_lines, strip
+from ..functions.text import clean_id, split_lines, strip
 
 PAIR = T.StructType([T.StructField("src", T.StringType()), T.StructField("trg", T.StringType())])
 DOCUMENT = T.StructType([T.StructField("id", T.StringType()), T.StructField("srcs", T.ArrayType(T.StringType())), T.StructField("trgs", T.ArrayType(T.StringType()))])
 LEXICON_ENTRY = T.StructType([T.StructField("src", T.StringType()), T.StructField("trgs", T.ArrayType(T.StringType()))])
 TARGET = T.StructType([*PAIR.fields, *[T.StructField(c, T.StringType()) for c in ("origin", "sentence_id", "document_id")], T.StructField("sentence_index", T.IntegerType()), T.StructField("group_id", T.StringType())])
 
-# fixed values: the registry of pivot corpora is data; this is its shape
+PREDICTION = T.StructType([T.StructField(c, T.StringType()) for c in ("eval", "src", "hyp", "ref")])
 PIVOT = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "name", "iso", "family", "note")] + [T.StructField("rows", T.LongType())])
 
 
-def pivot_registry(spark: SparkSession, entries: list[tuple]) -> DataFrame:
-    """``key, name, iso, family, note, rows`` of the known pivot corpora."""
-    return spark.createDataFrame(entries, PIVOT)
+# fixed values: the known pivot corpora (key, dataset, rows, language code, family)
+PIVOTS = [
+    ("kon_mined", "michsethowusu/english-kongo_sentence-pairs", 2_228_449, "kon", "Bantu H10"),
+    ("kon_mt560", "michsethowusu/english-kongo_sentence-pairs_mt560", 206_234, "kon", "Bantu H10"),
+    ("kik_mt560", "michsethowusu/english-kikongo_sentence-pairs_mt560", 169_875, "kng", "Bantu H10"),
+    ("lin", "michsethowusu/english-lingala_sentence-pairs", 2_910_515, "lin", "Bantu C30"),
+    ("lua", "michsethowusu/english-luba-kasai_sentence-pairs_mt560", 292_212, "lua", "Bantu L30"),
+    ("swc", "michsethowusu/english-congo-swahili_sentence-pairs_mt560", 271_892, "swc", "Bantu G40"),
+    ("swh", "michsethowusu/english-swahili_sentence-pairs", 23_513_175, "swh", "Bantu G40"),
+    ("umb", "michsethowusu/english-umbundu_sentence-pairs", 298_095, "umb", "Bantu R10"),
+    ("kmb", "michsethowusu/english-kimbundu_sentence-pairs", 196_248, "kmb", "Bantu H20"),
+    ("sag", "michsethowusu/english-sango_sentence-pairs", 3_607_548, "sag", "Ubangian creole"),
+    ("fra", "Helsinki-NLP/opus-100", 1_000_000, "fra", "Indo-European"),
+]
+# fixed values: the names by which a prompt calls the languages of the pivot corpora
+LANG_NAMES = {
+    "kon_mined": "Kikongo", "kon_mt560": "Kikongo", "kik_mt560": "Kikongo", "lin": "Lingala", "lua": "Tshiluba", "swc": "Congolese Swahili",
+    "swh": "Swahili", "umb": "Umbundu", "kmb": "Kimbundu", "sag": "Sango", "fra": "French",
+}
+
+
+def pivot_registry(spark: SparkSession, entries: list[tuple] | None = None) -> DataFrame:
+    """``key, name, iso, family, note, rows`` of the known pivot corpora, or of ``entries``."""
+    return spark.createDataFrame(entries if entries is not None else [(k, n, iso, fam, None, rows) for k, n, rows, iso, fam in PIVOTS], PIVOT)
+
+
+def language_name(c: Column | str, names: dict[str, str] | None = None, default: str = "und") -> Column:
+    """The name of a language or pivot key; an unknown one names itself, a missing one is ``default``."""
+    key = clean_id(c)
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in (names or LANG_NAMES).items() for x in kv])[key], key, F.lit(default))
 
 
 def find_pivot(registry: DataFrame, key: str):
@@ -36,11 +63,6 @@ def find_pivot(registry: DataFrame, key: str):
     return rows[key]
 
 
-def with_ordinal(df: DataFrame, *keys: str) -> DataFrame:
-    """Adds ``ordinal``: the struct of ``keys``, by which first and next are decided everywhere."""
-    return df.withColumn("ordinal", F.struct(*keys) if len(keys) > 1 else F.col(keys[0]))
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines of a declared schema; a malformed line raises, blank lines are skipped, a missing file names what to do."""
     try:
@@ -89,9 +111,8 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     if ext == ".txt":
         forms = spark.read.text(path).select(F.col("value").alias("form"))
     elif ext in (".tsv", ".csv"):
-        raw = spark.read.text(path).where(strip("value") != "")
-        row = F.split("value", "\t" if ext == ".tsv" else ",")
-        forms = raw.select(F.element_at(row, -1).alias("form"))
+        raw = spark.read.option("header", False).option("sep", "\t" if ext == ".tsv" else ",").option("quote", '"').option("escape", '"').csv(path)
+        forms = raw.select(F.col(raw.columns[-1]).cast("string").alias("form")) if raw.columns else spark.createDataFrame([], "form string")
     elif ext == ".jsonl":
         raw = spark.read.text(path).where(strip("value") != "")
         last = F.element_at(F.map_values(F.from_json("value", "map<string,string>")), -1)
@@ -101,16 +122,24 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return forms.select(F.lit(name).alias("lexicon"), "form")
 
 
-def read_lexicons(spark: SparkSession, folder: str) -> tuple[DataFrame | None, list[str]]:
-    """All lexicons of a folder in name order without READMEs, and the names of files that can't be read as one."""
+def read_lexicons(spark: SparkSession, folder: str, first: str | None = None) -> tuple[DataFrame | None, list[str]]:
+    """All lexicons of a folder in name order without READMEs, and the names of files that can't be read as one.
+
+    ``first``: a lexicon file of another place that is put before them, if it is there. The
+    folder is listed by the file system that it names, so any of Spark's will do.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted(f.getPath().getName() for f in fs.listStatus(path) if f.isFile())
+    paths = [f"{folder.rstrip('/')}/{f}" for f in files if not f.lower().startswith("readme")]
+    if first is not None and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(first)):
+        paths.insert(0, first)
     out, skipped = None, []
-    for f in sorted(os.listdir(folder)):
-        if f.lower().startswith("readme") or os.path.isdir(os.path.join(folder, f)):
-            continue
+    for f in paths:
         try:
-            one = read_lexicon(spark, os.path.join(folder, f))
+            one = read_lexicon(spark, f)
         except ValueError:
-            skipped.append(f)
+            skipped.append(os.path.basename(f))
             continue
         out = one if out is None else out.union(one)
     return out, skipped
@@ -165,4 +194,5 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
+    """``book, page, no, line``: every line of the pages, as they stand."""
     return pages.select("book", "page", F.posexplode(split_lines("text")).alias("no", "line"))

@@ -163,3 +163,28 @@ def test_run_table(spark):
     c = spark.createDataFrame([("r1", 13)], "run string, seed int")
     got = {r.run: r.asDict() for r in score.collate_runs(m, c).collect()}
     assert got["r1"]["dev_chrf"] in (12.34, 12.35) and got["r2"]["test_bleu"] is None and got["r2"]["seed"] is None
+
+
+def test_positions_of_many_rows_are_exact(spark):
+    df = spark.range(1_200_000).select((F.col("id") * 7 + 3).alias("ordinal")).orderBy(F.xxhash64("ordinal"))
+    got = sample.number_rows(df).agg(F.count("*").alias("n"), F.countDistinct("position").alias("d"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.count_if(F.col("position") * 7 + 3 != F.col("ordinal")).alias("bad")).first()
+    assert tuple(got) == (1_200_000, 1_200_000, 0, 1_199_999, 0)
+
+
+def test_lexicon_entries_give_each_word(spark):
+    df = spark.createDataFrame([("fr", "L’aube"), ("fr", "mots-clés"), ("fr", "un"), ("kg", None)], "lexicon string, form string")
+    assert sorted(r.form for r in audit.lexicon_forms(df).collect()) == ["aube", "clés", "mots"]
+
+
+def test_rows_without_group_are_split_as_well(spark):
+    rows = [(i, f"sentence number {i}", f"target number {i}", "smolsent", None, None if i % 3 == 0 else f"g{i}") for i in range(60)] + [(100, "sentence number 3", "another target here", "smolsent", None, "g4")]
+    df = spark.createDataFrame(rows, "ordinal int, src string, trg string, origin string, document_id string, group_id string")
+    got = {r.ordinal: (r.component, r.split) for r in split.split_pairs(df).collect()}
+    assert len(got) == 60 and {s for _, s in got.values()} == {"train", "dev", "test"} and got[3] == got[4]
+
+
+def test_packing_takes_as_many_batches_as_needed(spark, monkeypatch):
+    sizes = spark.createDataFrame([(f"g{i}", 3 + i % 5, "smolsent") for i in range(300)], "component string, size int, kind string")
+    want = {tuple(r) for r in split.pack_groups(sizes).collect()}
+    monkeypatch.setattr(split, "BATCH", 7)
+    assert {tuple(r) for r in split.pack_groups(sizes).collect()} == want

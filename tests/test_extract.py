@@ -90,3 +90,63 @@ def test_empty_tables(spark):
     assert extract.merge_bodyless(extract.split_entries(extract.dehyphenate(extract.clean_lines(none)))).count() == 0
     assert extract.fixed_width_words(none).count() == 0
     assert spark.createDataFrame([], "line string").select(F.count("*")).first()[0] == 0
+
+
+def test_blocks_equal_brute_force():
+    import random
+
+    r = random.Random(3)
+    logp = {lang: {w: -r.uniform(2, 9) for w in "abcdefgh" if r.random() < 0.7} for lang in extract.LANGS}
+    for _ in range(200):
+        body = [" ".join(r.choice("abcdefghxyz") for _ in range(r.randint(0, 4))) for _ in range(r.randint(1, 8))]
+        score = lambda lang, part: sum(logp[lang].get(w, extract.UNKNOWN_LOGP) for x in part for w in x.split())
+        n = len(body)
+        tries = [(round(score("pt", body[:i]) + score("fr", body[i:j]) + score("en", body[j:]) - score("en", body) - extract.EMPTY_BLOCK * ((i == 0) + (i == j) + (j == n)), 5), -i, -j) for i in range(n + 1) for j in range(i, n + 1)]
+        _, i, j = max(tries)
+        assert extract._blocks(body, logp) == (-i, -j)
+
+
+def test_a_headword_s_small_words_go_to_the_translation(spark):
+    lines = ["MWANA E o filho pede", "MWANA KE | E «o filho pede", "o filho pede", "A b c D e f g", ""]
+    got = [tuple(r.c) for r in spark.createDataFrame([(x,) for x in lines], "line string").select(extract.cut_headword("line").alias("c")).collect()]
+    assert got == [("MWANA", "E o filho pede"), ("MWANA KE", "E «o filho pede"), ("", "o filho pede"), ("", "A b c D e f g"), ("", "")]
+
+
+def test_long_books_are_cut_alike_in_ranges(spark):
+    text = "NGANGA KE MONA KIMA\nKYA NENE VE.\nO curandeiro não vê.\nYOVO: NGANGA KA MONA KO.\nsegue aqui."
+    many = spark.createDataFrame([("b", i, text) for i in range(300)], "book string, page int, text string")
+    got = extract.merge_bodyless(extract.split_entries(extract.dehyphenate(extract.clean_lines(many)))).orderBy("entry").collect()
+    assert len(got) == 300 and {(r.kikongo, r.variant, tuple(r.body)) for r in got} == {("NGANGA KE MONA KIMA KYA NENE VE.", "NGANGA KA MONA KO.", ("O curandeiro não vê.", "segue aqui."))}
+    assert [r.page for r in got] == list(range(300))
+
+
+def test_close_matching_equals_going_through_the_rows(spark):
+    import difflib
+    import random
+    from collections import defaultdict, deque
+
+    r = random.Random(5)
+    base = ["".join(r.choice("abdegklmn") for _ in range(r.randint(3, 30))) for _ in range(30)]
+
+    def spoiled(x):
+        x = list(x)
+        for _ in range(r.randint(0, max(1, len(x) // 8))):
+            x[r.randrange(len(x))] = r.choice("abdegklmn")
+        return "".join(x)
+
+    a = [(i, spoiled(r.choice(base)), f"a{i}") for i in range(120)]
+    b = [(1000 + i, spoiled(r.choice(base)), f"b{i}") for i in range(90)]
+    got = {x.ordinal: x.pt for x in extract.align_fuzzy(spark.createDataFrame(a, "ordinal int, kikongo string, pt string"), spark.createDataFrame(b, "ordinal int, kikongo string, pt string"), ["pt"]).collect()}
+    waiting = defaultdict(deque)
+    for _, k, v in b:
+        waiting[k].append(v)
+    want, rest = {}, []
+    for o, k, v in a:
+        if waiting[k]:
+            want[o] = waiting[k].popleft()
+        else:
+            rest.append((o, k, v))
+    for o, k, v in rest:
+        best = difflib.get_close_matches(k, sorted(x for x in waiting if waiting[x]), n=1, cutoff=0.9)
+        want[o] = waiting[best[0]].popleft() if best else v
+    assert got == want and sum(v.startswith("b") for v in got.values()) > 40

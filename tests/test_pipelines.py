@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loomtext import config
 from loomtext.__main__ import main
 from loomtext.plans import pipelines
+from loomtext.sources import readers
 
 
 def test_settings_are_strict(tmp_path):
@@ -40,4 +41,18 @@ def test_predictions_are_scored(spark):
     df = spark.createDataFrame([("dev", "a b", "translate English to Kikongo: a b"), ("dev", None, "x")], "eval string, src string, ref string")
     p = pipelines.predict(df, lambda: lambda texts: texts)
     m = {r.metric: r.value for r in pipelines.evaluate(p.where(F.col("src").isNotNull()), "r1").collect()}
-    assert m["chrf"] == pytest.approx(100) and m["bleu"] == pytest.approx(100)
+    assert m["chrf++"] == pytest.approx(100) and m["bleu"] == pytest.approx(100)
+
+
+def test_subword_scores_eval_command_and_completion_mark(spark, tmp_path, capsys):
+    df = spark.createDataFrame([("dev", "a", "a b c d e", "a b c d e"), ("dev", "a", "x", "y")], "eval string, src string, hyp string, ref string")
+    m = {r.metric: r.value for r in pipelines.evaluate(df, "r1", pieces=list).collect()}
+    assert set(m) == {"chrf++", "bleu", "spbleu"}
+    df.write.json(str(tmp_path / "pred"))
+    assert main(["eval", str(tmp_path / "pred"), str(tmp_path / "runs" / "r1")]) == 0
+    assert "spBLEU left out" in capsys.readouterr().out
+    got = {(r.run, r.eval, r.metric) for r in readers.read_runs(spark, str(tmp_path / "runs")).collect()}
+    assert got == {("r1", "dev", "chrf++"), ("r1", "dev", "bleu")}
+    made = []
+    assert pipelines.stage(spark, str(tmp_path / "s"), "k", made.append) and not pipelines.stage(spark, str(tmp_path / "s"), "k", made.append)
+    assert len(made) == 1 and json.loads((tmp_path / "s" / "complete.json").read_text()) == {"key": "k"}

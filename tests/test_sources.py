@@ -86,3 +86,15 @@ def test_stream_cleaning(spark, tmp_path):
     q = clean_stream(stream).writeStream.format("memory").queryName("cleaned").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("cleaned").count() == 1
+
+
+def test_quoted_cells_and_lists_of_words(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('one,"ki, mona"\ntwo,nzo\n')
+    (tmp_path / "w.json").write_text('["ab", "cd"]')
+    (tmp_path / "first.txt").write_text("mwana\n")
+    (tmp_path / "lex").mkdir()
+    (tmp_path / "lex" / "b.tsv").write_text("x\tmasa\n")
+    assert [r.form for r in readers.read_lexicon(spark, str(tmp_path / "a.csv")).collect()] == ["ki, mona", "nzo"]
+    assert [r.form for r in readers.read_word_list(spark, str(tmp_path / "w.json")).collect()] == ["ab", "cd"]
+    both, skipped = readers.read_lexicons(spark, str(tmp_path / "lex"), str(tmp_path / "first.txt"))
+    assert [(r.lexicon, r.form) for r in both.collect()] == [("first", "mwana"), ("b", "masa")] and not skipped
