@@ -131,16 +131,67 @@ def test_repaired_text_and_empty_scans(spark):
     assert ocr.damage(ocr.examine(df.limit(0))).count() == 0
 
 
-def test_hash_differences_name_the_exchange():
-    assert ocr.anagram_hash("listen") == ocr.anagram_hash("silent")
-    assert ocr.anagram_hash("modem") in ocr.variant_hashes("rnodem", False)
-    assert [at for at, _ in ocr.misreadings("rnodern", "modem", False)] == [0, 5] and ocr.misreadings("house", "mouse", False) is None
+LEARNT = ocr.Confusions({("rn", "m"): -2.0, ("c", "e"): -2.0, ("ii", "u"): -3.0, ("cl", "d"): -3.0, ("ri", "n"): -3.0})
 
 
-def test_every_explained_misreading_is_a_candidate():
-    for word, true in [("eleves", "élèves"), ("peches", "péchés"), ("atualizacoes", "atualizações"), ("rnodeles", "modèlès"), ("a", "à"), ("d" * 30 + "rn" * 10 + "e", "d" * 30 + "rn" * 9 + "mé")]:
-        assert ocr.misreadings(word, true, False), word
-        assert ocr.anagram_hash(ocr.unaccented(true)) in ocr.variant_hashes(word, False), word
+def test_hash_differences_name_the_exchange():
+    assert ocr.anagram_hash("listen") == ocr.anagram_hash("silent")
+    for word, true in [("tbe", "the"), ("hand", "band"), ("hous", "house"), ("rnodern", "modern"), ("eleves", "élèves"), ("cliirable", "durable"), ("ivie", "me"), ("0", "o")]:
+        met = set(ocr.reduced_hashes(word).tolist()) & set(ocr.reduced_hashes(true).tolist())
+        assert met or ocr.skeleton(word, ocr.undone(LEARNT)) == ocr.skeleton(true, ocr.undone(LEARNT)), word
+    assert ocr.exchange("tbe", "the") == ("b", "h", True) and ocr.exchange("hous", "house") == ("", "e", False)
+    assert [at for at, _ in ocr.misreadings("rnodern", "modem", LEARNT)[0]] == [0, 5]
+    assert ocr.misreadings("tbe", "the", LEARNT)[2] is False and ocr.misreadings("house", "mouse", LEARNT, False) is None
+    assert ocr.misreadings("tree", "house", LEARNT) is None
+
+
+def test_words_misread_in_many_places_share_a_skeleton():
+    undone = ocr.undone(LEARNT)
+    for word, true in [("rnodeles", "modèlès"), ("d" * 30 + "rn" * 10 + "c", "d" * 30 + "m" * 10 + "é"), ("clurablc", "durable")]:
+        assert ocr.skeleton(word, undone) == ocr.skeleton(true, undone), word
+    assert ocr.misreadings("rnodcrnc", "moderne", LEARNT)[2]
+    assert ("a", "b") not in ocr.undone(ocr.Confusions({("a", "b"): -2.0, ("b", "a"): -1.0}))
+
+
+def test_confusions_are_learnt_from_the_table(spark):
+    rng = random.Random(4)
+    words = [f"{a}h{b}" for a in ("mut", "kas", "lom", "ves") for b in ("ama", "elo", "iso", "una", "ide")]
+    lines = [" ".join(rng.choice(words) for _ in range(8)) for _ in range(400)]
+    for i in range(0, 400, 20):
+        w = words[(i // 20) % len(words)]
+        lines[i] = lines[i].replace(w, w.replace("h", "b"), 1) if w in lines[i] else lines[i] + " " + w.replace("h", "b")
+    df = spark.createDataFrame([(i, None, lines[10 * i : 10 * i + 10]) for i in range(40)], "rec_id long, kikongo string, body array<string>")
+    got = {(r.rec_id, r.line_no) for r in ocr.damage(ocr.examine(df)).where("kind = 'char'").collect()}
+    want = {(i // 10, i % 10) for i, x in enumerate(lines) if re.search(r"b(ama|elo|iso|una|ide)", x)}
+    assert len(want) == 20 and got == want
+
+
+def test_a_plain_misreading_that_nothing_else_shows(spark):
+    body = ["the old man sees the river and the rain"] * 30
+    df = spark.createDataFrame([(i, None, body) for i in range(6)] + [(9, None, ["xyzzy sees tbe river and thc rain"])], "rec_id long, kikongo string, body array<string>")
+    found = ocr.examine(df)
+    assert {r.rec_id: r.text for r in ocr.repaired(found).collect()}[9].startswith("xyzzy sees")
+    df = spark.createDataFrame([(i, None, body) for i in range(60)] + [(9000, None, ["xyzzy sees tbe rivfr and the rain"])], "rec_id long, kikongo string, body array<string>")
+    assert {r.rec_id: r.text for r in ocr.repaired(ocr.examine(df)).collect()}[9000] == "xyzzy sees the river and the rain"
+
+
+def test_hyphens_stay_where_the_table_speaks_for_them(spark):
+    rows = [(i, "NGANGA-NKISI KE MONA", ["un bien-aimé et un arc-en-ciel", "la rivière chante"]) for i in range(4)]
+    rows += [(10, "NGANGA-NKISI KE MONA", ["le bien-", "aimé voit un arc-en-", "ciel et la rivi-", "ère"]), (11, "NGA- NGA KE MONA", ["la rivière"]), (12, "NGANGA KE MO-NA", ["x"]), (13, "NGANGA KE MONA", ["x"])]
+    found = ocr.examine(spark.createDataFrame(rows, "rec_id long, kikongo string, body array<string>"))
+    text = {r.rec_id: r for r in ocr.repaired(found).collect()}
+    assert text[10].text == "le bien-aimé voit un arc-en-ciel et la rivière" and text[10].headword == "NGANGA-NKISI KE MONA"
+    assert text[11].headword == text[12].headword == "NGANGA KE MONA"
+    hyphens = {(r.rec_id, r.line_no) for r in ocr.damage(found).where("kind = 'hyphen'").collect()}
+    assert hyphens == {(10, 0), (10, 1), (10, 2), (11, -1), (12, -1)}
+
+
+def test_running_headers_and_their_misread_forms(spark):
+    wide = "a line of the text that is as wide as all the other lines of it"
+    heads = ["Words of the old road"] * 5 + ["Vv0rds of thc old road", "Something else entirely"]
+    df = spark.createDataFrame([(i, None, [wide, h, wide]) for i, h in enumerate(heads)], "rec_id long, kikongo string, body array<string>")
+    got = {r.rec_id for r in ocr.damage(ocr.examine(df)).where("kind = 'header'").collect()}
+    assert got == {0, 1, 2, 3, 4, 5}
 
 
 def test_two_lost_accents_are_mended(spark):
