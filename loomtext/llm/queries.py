@@ -60,7 +60,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     test, lin = table(spark, d, "smol_test"), table(spark, d, "lin_smol")
-    return overlap.overlap_report(overlap.cross_split_overlaps(test, lin), test, lin)
+    return overlap.overlap_report(overlap.cross_split_overlaps(test, lin, coverage=True), test, lin)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -40,12 +40,70 @@ def test_overlaps_against_all_pairs(spark):
     tr += [(5000 + i, ev[0][1], None, "train", "o", "y") for i in range(200)]
     a, b = spark.createDataFrame(ev, E_ROW), spark.createDataFrame(tr, E_ROW)
     want = {(x[0], y[0]) for x in ev for y in tr if same(x[1], y[1]) or same(x[2], y[2])}
-    got = overlap.cross_split_overlaps(a, b)
-    assert {tuple(r) for r in got.collect()} == want and len(want) > 250
+    got = overlap.cross_split_overlaps(a, b, coverage=True)
+    found = got.collect()
+    assert {(r.eval_row_id, r.train_row_id) for r in found} == want and len(want) > 250
+    assert all(0.2 < r.coverage <= 1 for r in found) and {r.coverage for r in found if r.train_row_id >= 5000 and r.eval_row_id == 0} == {1.0}
     report = overlap.overlap_report(got, a, b).collect()
     assert sum(r.n_pairs for r in report) == len(want) and {r.origin for r in report} == {"o", "unknown"}
 
 
+def test_one_word_apart_against_all_ways():
+    rng = random.Random(8)
+
+    def brute(a, b):
+        x, y = a.split(), b.split()
+        cut = lambda w: {"".join(w), *("".join(w[:i] + w[i + 1 :]) for i in range(len(w)))}
+        split = lambda w: [("".join(w[:i]), "".join(w[i + 1 :])) for i in range(len(w))]
+        return "".join(x) == "".join(y) or "".join(x) in cut(y) or "".join(y) in cut(x) or bool(set(split(x)) & set(split(y)))
+
+    hits = 0
+    for _ in range(4000):
+        x = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 5))]
+        y = list(x)
+        for _ in range(rng.randint(1, 2)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randint(0, 1)] = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))] * rng.randint(0, 1)
+        a, b = " ".join(x), " ".join(y)
+        if brute(a, b):
+            hits += 1
+            assert overlap.one_word_apart(a, b) and overlap.one_word_apart(b, a), (a, b)
+    assert hits > 1000 and not overlap.one_word_apart("one two three four", "one too three for")
+
+
+def test_white_space_inside_any_number_of_words(spark):
+    rng = random.Random(9)
+    texts = [sentence(rng, 14)[:-1] for _ in range(200)]
+    for side in (0, 1):
+        rows = []
+        for i, t in enumerate(texts):
+            w = t.split()
+            for k in rng.sample(range(len(w)), i % 7):
+                cut = rng.randint(1, len(w[k]) - 1)
+                w[k] = w[k][:cut] + " " + w[k][cut:]
+            x = " ".join(w)
+            rows.append((i, x.replace(" ", "", i % 3), None, "test", "o", ""))
+        plain = spark.createDataFrame([(i, t, None, "test", "o", "") for i, t in enumerate(texts)], E_ROW)
+        spaced = spark.createDataFrame(rows, E_ROW)
+        got = {tuple(r) for r in overlap.cross_split_overlaps(*((plain, spaced) if side else (spaced, plain))).collect()}
+        assert got == {(i, i) for i in range(200)}
+
+
+def test_short_texts_and_a_hot_prefix(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT", 20)
+    short = [(1, "crocodile", "the crocodile"), (2, "ab", "mother"), (3, "Kokolo!", None)]
+    near = [(1, "krocodylle", "the crocodyle"), (2, "xy", "brother"), (3, "kokkolo", None), (4, "abc", "another mother")]
+    stock = "it has been said again and again by many old people that the "
+    rng = random.Random(3)
+    tails = [sentence(rng, 5) for _ in range(120)]
+    ev = [(i, a, b, "test", "o", "") for i, a, b in short] + [(100 + i, stock + t, None, "test", "o", "") for i, t in enumerate(tails[:30])]
+    tr = [(i, a, b, "train", "o", "") for i, a, b in near] + [(100 + i, stock + t.replace("a", "o", 1), None, "train", "o", "") for i, t in enumerate(tails)]
+    got = {tuple(r) for r in overlap.cross_split_overlaps(spark.createDataFrame(ev, E_ROW), spark.createDataFrame(tr, E_ROW)).collect()}
+    assert {(i, i) for i in range(100, 130)} <= got and {(1, 1), (3, 3)} <= got and (2, 4) in got
+    want = {(x[0], y[0]) for x in ev for y in tr for c in (1, 2) if min(len(x[c] or ""), len(y[c] or "")) > 5 and same(x[c], y[c])}
+    assert want <= got and (2, 2) in got
+
+
 def test_overlap_of_very_long_texts_and_empty_tables(spark):
     rng = random.Random(2)
     long = " ".join(sentence(rng) for _ in range(400))
