@@ -240,29 +240,62 @@ def test_language_models_see_every_segment(spark):
     h = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
     hot = min(texts, key=lambda t: h[t])
     r = spark.createDataFrame([(hot, "kg")] * 12_500 + [(t, "kg") for t in texts], "trg string, trg_lang string")
-    m = langid.fit(r, spark.createDataFrame([], "rec_id long, body array<string>"), lex, passages)
+    segments = langid.row_texts(r).select("p", "fold").distinct()
+    one, two = langid.fit(segments, lex, passages)
     for c in "bcdfghjklm":
-        assert langid._ngram_hashes(langid._codes(f"za{c}x{c}"), 5)[0] in m.gram_hash, c
+        key = langid._hashed(langid._packed([f"za{c}x{c}"], 5)[0][-1:], 5)
+        assert (one.grams.find(key)[0] >= 0) != (two.grams.find(key)[0] >= 0), c  # in the half that it belongs to, and only there
 
 
 def test_kneser_ney_sums_to_one():
-    m = langid.Models({"a": ["abab", "abba"], "b": ["bbbb"]}, order=3)
-    letters = sorted({c for t in ("abab", "abba", "bbbb") for c in t})
-    base = "\x02\x02"
-    total = np.zeros(2)
-    for c in letters:
-        h = langid._ngram_hashes(langid._codes(base + c), 3)
-        at = m._find(m.gram_hash, h)
-        total += np.exp(m.gram_log[at[0]]) if at[0] >= 0 else np.exp(-m.score([c])[0])
-    assert (total <= 1.0 + 1e-6).all() and total.max() > 0.6
-
-
-def test_rejection_of_a_foreign_script(spark):
+    m = langid.Models(langid.count_grams({"a": ["abab", "abba"], "b": ["bbbb"]}, 3), order=3)
+    for context in ("", "a", "b", "ab", "ba", "zz"):
+        # the letters seen, and one that stands for all others
+        total = sum(np.exp(-(m.score([context + c])[0] * (len(context) + 1) - (m.score([context])[0] * len(context) if context else 0))) for c in "abz")
+        assert total == pytest.approx([1.0, 1.0], abs=1e-5), context
+
+
+def test_kneser_ney_against_the_definition():
+    from collections import Counter
+
+    texts, order, d = ["banana band", "bandana an"], 3, 0.75
+    counts = {order: Counter(("\x02" * (order - 1) + t)[i : i + order] for t in texts for i in range(len(t)))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        own = {x: c for x, c in counts[len(g)].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        t = sum(own.values())
+        return max(own.get(g, 0) - d, 0) / t + d * len(own) / t * p(g[1:])
+
+    m = langid.Models(langid.count_grams({"x": texts}, order), order)
+    for t in ("banana", "nab", "xyz", "d an"):
+        s = "\x02" * (order - 1) + t
+        assert m.score([t])[0, 0] == pytest.approx(-sum(np.log(p(s[i : i + order])) for i in range(len(t))) / len(t), rel=1e-4)
+
+
+def test_hash_lookup_equals_a_search():
+    rng = np.random.default_rng(3)
+    table = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    asked = np.concatenate([table[::7], rng.integers(0, 1 << 63, 1000, dtype=np.uint64), table[:1], table[-1:]])
+    where = {int(x): i for i, x in enumerate(table)}
+    assert langid.Hashes(table).find(asked).tolist() == [where.get(int(x), -1) for x in asked] and langid.Hashes(table[:0]).find(asked).max() == -1
+
+
+def test_rejection_of_what_is_no_known_language(spark):
     rng = random.Random(1)
-    m = langid.train({k: [langid.plain(t) for t in corpus(rng, k, 60)] for k in TEXT}, [])
-    m.calibrate({k: [langid.plain(t) for t in corpus(rng, k, 60)] for k in TEXT})
-    lang, conf = langid._judge(m, ["мама мыла раму и пела песню", corpus(rng, "fr", 1)[0], "12 34", ""])
-    assert lang == ["und", "fr", "und", "und"] and conf[2] == 0.0
+    lex = spark.createDataFrame([(k, w) for k, v in TEXT.items() for w in v], "lexicon string, form string")
+    passages = spark.createDataFrame([(i, k, t, "x") for i, (k, t) in enumerate((k, t) for k in TEXT for t in corpus(rng, k, 60))], "item_id int, lang string, text string, split string")
+    odd = ["мама мыла раму и пела песню", "12 34", "qx zvq xxk", "жук"]
+    rows = [(i, t, None) for i, t in enumerate(t for k in TEXT for t in corpus(rng, k, 60))] + [(1000 + i, t, None) for i, t in enumerate(odd)] + [(2000, "la rivière", None), (2001, "the", None)]
+    segs, _ = langid.segments_of_both(spark.createDataFrame(rows, "row_id long, trg string, trg_lang string"), spark.createDataFrame([], "rec_id long, body array<string>"), lex, passages)
+    got = {x.rec_id: x for x in segs.collect()}
+    assert [got[1000 + i].lang for i in range(4)] == ["und"] * 4 and got[1001].confidence == 0.0
+    assert got[2000].lang == "fr" and got[2001].lang == "en" and sum(x.lang == "und" for x in got.values()) <= 6
 
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, uses string, tokens string"
