@@ -49,7 +49,12 @@ class Vectors:
     def __init__(self, table: dict[str, list[tuple[str, float]]], rarity_src: dict[str, float], rarity_trg: dict[str, float], most: float) -> None:
         self.table, self.src, self.trg, self.most = table, rarity_src, rarity_trg, most
         self.known = {t for v in table.values() for t, _ in v}
-        self.cache: dict[tuple[bool, str], list[tuple[int, float]]] = {}
+        self.phrases: dict[str, int] = {}  # first word -> words of the longest entry of several words that begins so
+        for entry in table:
+            if " " in entry:
+                first, size = entry.split(" ", 1)[0], entry.count(" ") + 1
+                self.phrases[first] = max(size, self.phrases.get(first, 0))
+        self.cache: dict[tuple[bool, str], tuple[list[int], list[float]]] = {}
 
     def _own(self, w: str, weight: float) -> list[tuple[int, float]]:
         if w.isdigit():
@@ -58,7 +63,7 @@ class Vectors:
         grams = [framed[i : i + 3] for i in range(len(framed) - 2)]
         return [(_slot("=" + g), weight / np.sqrt(len(grams))) for g in grams]
 
-    def features(self, raw: str, source: bool) -> list[tuple[int, float]]:
+    def features(self, raw: str, source: bool) -> tuple[list[int], list[float]]:
         """Slots and weights of a word; one that is neither translatable nor a name or a number can hardly meet its partner and weighs little."""
         got = self.cache.get((source, raw))
         if got is None:
@@ -66,7 +71,7 @@ class Vectors:
             common = self.src if source else self.trg
             dull = 1.0 if w.isdigit() or raw[0].isupper() and w not in common else UNKNOWN
             if source:
-                weight = self.src.get(w, self.most)
+                weight = max(self.src.get(x, self.most) for x in w.split(" "))
                 if w in self.table:
                     norm = np.sqrt(sum(p * p for _, p in self.table[w]))
                     got = [(_slot("w" + t), weight * p / norm) for t, p in self.table[w]]
@@ -75,25 +80,42 @@ class Vectors:
             else:
                 weight = self.trg.get(w, self.most)
                 got = [(_slot("w" + w), weight)] if w in self.known else self._own(w, weight * dull)
+            got = [slot for slot, _ in got], [x for _, x in got]
             if len(self.cache) < 500_000:
                 self.cache[(source, raw)] = got
         return got
 
+    def units(self, s: str, source: bool) -> list[str]:
+        """The words of a sentence; in the source language, entries of several words stand for them, the longest first."""
+        out = _WORD.findall(s if s.isascii() else unicodedata.normalize("NFKC", s))
+        if not source or not self.phrases:
+            return out
+        low, merged, i = [w.lower() for w in out], [], 0
+        while i < len(out):
+            size = next((n for n in range(min(self.phrases.get(low[i], 1), len(out) - i), 1, -1) if " ".join(low[i : i + n]) in self.table), 1)
+            merged.append(" ".join(out[i : i + size]))
+            i += size
+        return merged
+
     def slots(self, sentences: list[str | None], source: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sentence, slot and weight of each feature; a slot may come more than once."""
-        rows, cols, weights = [], [], []
+        cols, weights, owner, sizes = [], [], [], []
         for k, s in enumerate(sentences):
             # a word said again says less: its weight grows with the square root of its number
-            for w, n in Counter(_WORD.findall(unicodedata.normalize("NFKC", s))).items() if s else ():
-                for slot, x in self.features(w, source):
-                    rows.append(k)
-                    cols.append(slot)
-                    weights.append(x * n**0.5)
-        return np.array(rows, np.int64), np.array(cols, np.int64), np.array(weights, np.float32)
-
-    def matrix(self, sentences: list[str | None], source: bool) -> tuple[np.ndarray, np.ndarray]:
-        m = _dense(self.slots(sentences, source), 0, len(sentences))
-        return m, np.sqrt((m * m).sum(axis=1))
+            for w, n in Counter(self.units(s, source)).items() if s else ():
+                slots, own = self.features(w, source)
+                cols += slots
+                weights += own if n == 1 else [x * n**0.5 for x in own]
+                owner.append(k)
+                sizes.append(len(slots))
+        return np.repeat(np.array(owner, np.int64), np.array(sizes, np.int64)), np.array(cols, np.int64), np.array(weights, np.float32)
+
+    def matrices(self, srcs: list[str | None], trgs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of both sides, with a column for each slot that the document uses."""
+        a, b = self.slots(srcs, True), self.slots(trgs, False)
+        used, col = np.unique(np.concatenate([a[1], b[1]]), return_inverse=True)
+        k = len(used)
+        return tuple(np.bincount(rows * k + c, w, n * k).reshape(n, k) for (rows, _, w), c, n in ((a, col[: len(a[1])], len(srcs)), (b, col[len(a[1]) :], len(trgs))))
 
 
 def _dense(slots: tuple[np.ndarray, np.ndarray, np.ndarray], lo: int, hi: int) -> np.ndarray:
@@ -105,34 +127,82 @@ def _dense(slots: tuple[np.ndarray, np.ndarray, np.ndarray], lo: int, hi: int) -
     return m
 
 
-def transport(cost: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, null_cost: float, reg: float = 0.03, rounds: int = 60) -> np.ndarray:
+def transport(cost: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, null_cost: float, reg: float = 0.03, rounds: int = 2_000, close: float = 1e-6) -> np.ndarray:
     """The entropic plan between two sets of masses where either side may leave mass to a null partner at ``null_cost``.
 
     A null row and a null column hold the other side's whole mass, so that any
-    sentence may stay alone; Sinkhorn scaling of exp(-cost / reg).
+    sentence may stay alone; Sinkhorn scaling of exp(-cost / reg), until the rows' masses are met to ``close`` of all mass (the columns' are met exactly).
     """
     n, m = cost.shape
     full = np.full((n + 1, m + 1), null_cost)
     full[:n, :m] = cost
     full[n, m] = 0.0
     k = np.exp(-full / reg)
+    kt = np.ascontiguousarray(k.T)
     a, b = np.append(mass_a, mass_b.sum()), np.append(mass_b, mass_a.sum())
-    v = np.ones(m + 1)
-    u = np.ones(n + 1)
-    for _ in range(rounds):
-        u = a / np.maximum(k @ v, 1e-300)
-        v = b / np.maximum(k.T @ u, 1e-300)
+    u, v = np.ones(n + 1), np.ones(m + 1)
+    kv = k @ v
+    for t in range(rounds):
+        u = a / np.maximum(kv, 1e-300)
+        v = b / np.maximum(kt @ u, 1e-300)
+        kv = k @ v
+        if t % 4 == 3 and np.abs(u * kv - a).sum() <= close * a.sum():
+            break
     return (u[:, None] * k * v[None, :])[:n, :m]
 
 
-def sparse_transport(x: np.ndarray, y: np.ndarray, cost: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, null_cost: float, reg: float = 0.03, rounds: int = 60) -> np.ndarray:
+def transport_many(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], null_cost: float, reg: float = 0.03, rounds: int = 2_000, close: float = 1e-6) -> list[np.ndarray]:
+    """:func:`transport` of many small documents at once, those of about one size together; what a document lacks of that size has no mass."""
+    plans: list[np.ndarray] = [np.zeros((0, 0))] * len(parts)
+    by_size: dict[int, list[int]] = {}
+    for i, (cost, _, _) in enumerate(parts):
+        by_size.setdefault(-(-(max(cost.shape) + 1) // 8) * 8, []).append(i)
+    for size, every in by_size.items():
+        step = max(1, 2_000_000 // (size * size))
+        for lo in range(0, len(every), step):
+            some = every[lo : lo + step]
+            k, a, b = np.zeros((len(some), size, size)), np.zeros((len(some), size)), np.zeros((len(some), size))
+            for at, i in enumerate(some):
+                cost, mass_a, mass_b = parts[i]
+                n, m = cost.shape
+                k[at, :n, :m] = np.exp(-cost / reg)
+                k[at, :n, m] = k[at, n, :m] = np.exp(-null_cost / reg)
+                k[at, n, m] = 1.0
+                a[at, :n], a[at, n], b[at, :m], b[at, m] = mass_a, mass_b.sum(), mass_b, mass_a.sum()
+            kt = np.ascontiguousarray(k.transpose(0, 2, 1))
+            done_u, done_v = np.zeros_like(a), np.zeros_like(b)
+            left = np.arange(len(some))
+            kv = k.sum(axis=2)
+            for t in range(rounds):
+                u = a[left] / np.maximum(kv, 1e-300)
+                v = b[left] / np.maximum((kt @ u[:, :, None])[:, :, 0], 1e-300)
+                kv = (k @ v[:, :, None])[:, :, 0]
+                if t % 4 == 3 or t + 1 == rounds:
+                    met = np.abs(u * kv - a[left]).sum(axis=1) <= close * a[left].sum(axis=1)
+                    if met.any() or t + 1 == rounds:
+                        out = met | (t + 1 == rounds)
+                        done_u[left[out]], done_v[left[out]] = u[out], v[out]
+                        left, k, kt, kv = left[~out], k[~out], kt[~out], kv[~out]
+                        if not len(left):
+                            break
+            for at, i in enumerate(some):
+                n, m = parts[i][0].shape
+                plans[i] = done_u[at, :n, None] * np.exp(-parts[i][0] / reg) * done_v[at, None, :m]
+    return plans
+
+
+def sparse_transport(x: np.ndarray, y: np.ndarray, cost: np.ndarray, mass_a: np.ndarray, mass_b: np.ndarray, null_cost: float, reg: float = 0.03, rounds: int = 2_000, close: float = 1e-6) -> np.ndarray:
     """:func:`transport` where only the pairs ``x, y`` have a finite ``cost``; the mass of each of them."""
     n, m = len(mass_a), len(mass_b)
     k, null = np.exp(-cost / reg), np.exp(-null_cost / reg)
-    u, v, u0, v0 = np.ones(n), np.ones(m), 1.0, 1.0
-    for _ in range(rounds):
-        u, u0 = mass_a / np.maximum(np.bincount(x, k * v[y], n) + null * v0, 1e-300), mass_b.sum() / max(null * v.sum() + v0, 1e-300)
+    v, v0 = np.ones(m), 1.0
+    kv, kv0 = np.bincount(x, k * v[y], n) + null * v0, null * v.sum() + v0
+    for t in range(rounds):
+        u, u0 = mass_a / np.maximum(kv, 1e-300), mass_b.sum() / max(kv0, 1e-300)
         v, v0 = mass_b / np.maximum(np.bincount(y, k * u[x], m) + null * u0, 1e-300), mass_a.sum() / max(null * u.sum() + u0, 1e-300)
+        kv, kv0 = np.bincount(x, k * v[y], n) + null * v0, null * v.sum() + v0
+        if t % 4 == 3 and np.abs(u * kv - mass_a).sum() + abs(u0 * kv0 - mass_b.sum()) <= close * (mass_a.sum() + mass_b.sum()):
+            break
     # as in the dense form, the last word is the columns'
     return u[x] * k * v[y]
 
@@ -182,30 +252,43 @@ def links(srcs: list, trgs: list, vec: Vectors, null_cost: float = 0.62, floor:
     mass, so all pairs of a sentence left out here have at most SLIGHT x (mass
     of the other side / matched mass) of its mass.
     """
-    si = [i for i, x in enumerate(srcs) if words(x)]
-    ti = [j for j, x in enumerate(trgs) if words(x)]
-    if not si or not ti:
-        return []
-    if len(si) * len(ti) <= dense:
-        a, na = vec.matrix([srcs[i] for i in si], True)
-        b, nb = vec.matrix([trgs[j] for j in ti], False)
-        ma, mb = na * na, nb * nb
-        scale = ma.sum() + mb.sum()
-        plan = transport(_costs(a @ b.T, na, nb), ma / scale, mb / scale, null_cost / 2, reg)
-        share = plan / np.minimum.outer(ma, mb) * scale
+    return links_of_many([(srcs, trgs)], vec, null_cost, floor, dense, reg)[0]
+
+
+def links_of_many(documents: list[tuple[list, list]], vec: Vectors, null_cost: float = 0.62, floor: float = 0.25, dense: int = DENSE, reg: float = 0.03) -> list[list[tuple[int, int, float]]]:
+    """:func:`links` of each document; the small ones are transported together."""
+    out: list[list[tuple[int, int, float]]] = [[] for _ in documents]
+    small = []
+    for at, (srcs, trgs) in enumerate(documents):
+        si = [i for i, x in enumerate(srcs) if x and _WORD.search(x)]
+        ti = [j for j, x in enumerate(trgs) if x and _WORD.search(x)]
+        if not si or not ti:
+            continue
+        if len(si) * len(ti) <= dense:
+            a, b = vec.matrices([srcs[i] for i in si], [trgs[j] for j in ti])
+            ma, mb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            small.append((at, si, ti, _costs(a @ b.T, np.sqrt(ma), np.sqrt(mb)), ma, mb))
+        else:
+            a, b = vec.slots([srcs[i] for i in si], True), vec.slots([trgs[j] for j in ti], False)
+            na, nb = (np.sqrt(np.concatenate([(_dense(z, i, min(i + BLOCK, n)) ** 2).sum(axis=1) for i in range(0, n, BLOCK)])) for z, n in ((a, len(si)), (b, len(ti))))
+            ma, mb = na * na, nb * nb
+            scale = ma.sum() + mb.sum()
+            x, y, cost = _near(a, b, na, nb, null_cost - reg * np.log(SLIGHT))
+            share = sparse_transport(x, y, cost, ma / scale, mb / scale, null_cost / 2, reg) / np.minimum(ma[x], mb[y]) * scale
+            taken = share > floor
+            x, y, share = x[taken], y[taken], share[taken]
+            order = np.lexsort((y, x))
+            out[at] = _parted(si, ti, x[order], y[order], share[order], ma, mb)
+    scales = [ma.sum() + mb.sum() for *_, ma, mb in small]
+    plans = transport_many([(cost, ma / z, mb / z) for (_, _, _, cost, ma, mb), z in zip(small, scales)], null_cost / 2, reg)
+    for (at, si, ti, _, ma, mb), z, plan in zip(small, scales, plans):
+        share = plan / np.minimum.outer(ma, mb) * z
         x, y = np.nonzero(share > floor)
-        share = share[x, y]
-    else:
-        a, b = vec.slots([srcs[i] for i in si], True), vec.slots([trgs[j] for j in ti], False)
-        na, nb = (np.sqrt(np.concatenate([(_dense(z, i, min(i + BLOCK, n)) ** 2).sum(axis=1) for i in range(0, n, BLOCK)])) for z, n in ((a, len(si)), (b, len(ti))))
-        ma, mb = na * na, nb * nb
-        scale = ma.sum() + mb.sum()
-        x, y, cost = _near(a, b, na, nb, null_cost - reg * np.log(SLIGHT))
-        share = sparse_transport(x, y, cost, ma / scale, mb / scale, null_cost / 2, reg) / np.minimum(ma[x], mb[y]) * scale
-        taken = share > floor
-        x, y, share = x[taken], y[taken], share[taken]
-        order = np.lexsort((y, x))
-        x, y, share = x[order], y[order], share[order]
+        out[at] = _parted(si, ti, x, y, share[x, y], ma, mb)
+    return out
+
+
+def _parted(si: list[int], ti: list[int], x: np.ndarray, y: np.ndarray, share: np.ndarray, ma: np.ndarray, mb: np.ndarray) -> list[tuple[int, int, float]]:
     for own, other, m_own, m_other in ((1, 0, mb, ma), (0, 1, ma, mb)):
         at = (x, y)
         keep = _of_one(at[own], at[other], share, m_own, m_other)
@@ -222,9 +305,9 @@ def _rarity(sentences: DataFrame, rare: int) -> tuple[dict[str, float], int]:
 
 
 def dictionary_table(dictionary: DataFrame, src: str = "src", trgs: str = "trgs") -> dict[str, list[tuple[str, float]]]:
-    """Source word -> its target words, each with an equal part; a target of several words gives its part to each of them.
+    """Source word, or words with a space between them -> the target words, each with an equal part; a target of several words gives its part to each of them.
 
-    Entries of several source words, and null or blank ones, are left out.
+    Null and blank entries are left out.
     """
     e = dictionary.select(strip(F.lower(src)).alias("s"), F.explode(trgs).alias("t")).select("s", strip(F.lower("t")).alias("t")).where("s <> '' and t <> ''").distinct()
     rows = e.limit(MAX_TABLE + 1).collect()
@@ -232,8 +315,8 @@ def dictionary_table(dictionary: DataFrame, src: str = "src", trgs: str = "trgs"
         raise ValueError("the dictionary is too large to be sent to every task")
     found: dict[str, set[str]] = {}
     for r in rows:
-        if len(words(r["s"])) == 1:
-            found.setdefault(r["s"], set()).add(r["t"])
+        if key := " ".join(words(r["s"])):
+            found.setdefault(key, set()).add(r["t"])
     return {s: sorted({w: 1.0 / len(ts) for t in sorted(ts) for w in words(t)}.items()) for s, ts in found.items()}
 
 
@@ -258,8 +341,7 @@ def align_documents(documents: DataFrame, dictionary: DataFrame, id_col: str = "
         vec = Vectors(*state.value)
         for pdf in batches:
             out = []
-            for key, a, b in zip(pdf.id, pdf.srcs, pdf.trgs):
-                found = links(list(a), list(b), vec)
+            for key, found in zip(pdf.id, links_of_many(list(zip(map(list, pdf.srcs), map(list, pdf.trgs))), vec)):
                 rows, cols = {}, {}
                 for x, y, _ in found:
                     rows[x], cols[y] = rows.get(x, 0) + 1, cols.get(y, 0) + 1

@@ -71,6 +71,37 @@ def test_sparse_transport_links_as_the_dense_one():
     assert [x[:2] for x in dense] == [x[:2] for x in sparse] and np.allclose([x[2] for x in dense], [x[2] for x in sparse], atol=1e-3)
 
 
+def test_entries_of_several_words_are_used(spark):
+    words = spark.createDataFrame([("in front of", ["ntwala"]), ("in", ["muna"]), ("front", ["nima"])], "src string, trgs array<string>")
+    table = align.dictionary_table(words)
+    vec = align.Vectors(table, {}, {}, 5.0)
+    assert vec.units("He stood In Front of us in front", True) == ["He", "stood", "In Front of", "us", "in", "front"]
+    assert vec.units("in front of", False) == ["in", "front", "of"]
+    df = spark.createDataFrame([("d", ["in front of", "in", "front"], ["nima", "ntwala", "muna"], "")], DOC)
+    assert {(r.src_index, r.trg_index) for r in align.align_documents(df, words).collect()} == {(0, 1), (1, 2), (2, 0)}
+
+
+def test_transport_runs_until_the_masses_are_met():
+    rng = np.random.default_rng(1)
+    a, b = rng.random(30), rng.random(25)
+    a, b = a / (a.sum() + b.sum()), b / (a.sum() + b.sum())
+    cost = rng.random((30, 25))
+    near, far = align.transport(cost, a, b, 0.3, close=1e-9, rounds=100_000), align.transport(cost, a, b, 0.3)
+    assert np.abs(near - far).max() < 1e-4
+    x, y = np.divmod(np.arange(750), 25)
+    assert np.allclose(align.sparse_transport(x, y, cost.ravel(), a, b, 0.3, close=1e-9, rounds=100_000), near.ravel(), atol=1e-7)
+
+
+def test_many_documents_are_transported_as_each_by_itself():
+    rng = np.random.default_rng(2)
+    parts = []
+    for n, m in [(1, 1), (3, 9), (8, 8), (20, 5), (7, 7), (2, 1), (31, 33)]:
+        a, b = rng.random(n), rng.random(m)
+        parts.append((rng.random((n, m)), a / (a.sum() + b.sum()), b / (a.sum() + b.sum())))
+    for got, (cost, a, b) in zip(align.transport_many(parts, 0.3), parts):
+        assert np.allclose(got, align.transport(cost, a, b, 0.3), atol=1e-6)
+
+
 def test_alignment_of_long_and_no_documents(spark):
     p = bilingual(random.Random(6), 1500)
     df = spark.createDataFrame([("long", [a for a, _ in p], [b for _, b in p], "")], DOC)
