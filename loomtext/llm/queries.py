@@ -75,14 +75,30 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaked_passages(table(spark, d, "documents"), table(spark, d, "flores_devtest"), offsets=True)
 
 
+#: the domains of the sources, for the upper level of the tree
+DOMAINS = {
+    "parish_letters": "community", "village_radio": "community", "reading_circle": "community", "song_archive": "community", "school_primers": "teaching", "code_club": "teaching", "star_watchers": "teaching",
+    "market_bulletin": "work", "field_almanac": "work", "clinic_leaflets": "public", "court_notes": "public", "old_scans": "print",
+}
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"), domains=DOMAINS)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_mix_total(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture of as many tokens as all targeted sources have: the small ones are short, and others take their place."""
+    return mixture.mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"), domains=DOMAINS, once=True)
+
+
+def p8_shares_total(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_shares(p8_mix_total(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "doc_subjects"))
 
@@ -95,7 +111,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(p9_found(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_text, p3_found, p3_splits, p3_report, p4_found, p4_records, p5_found, p5_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_topics, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_text, p3_found, p3_splits, p3_report, p4_found, p4_records, p5_found, p5_report, p6_found, p7_found, p7_passages, p8_mix, p8_shares, p8_mix_total, p8_shares_total, p9_found, p9_topics, p9_composition)}
 
 _ID = r"nullif(regexp_replace(regexp_replace(lower({0}), '^[\s\p{{Z}}\x1c-\x1f\x85]+', ''), '[\s\p{{Z}}\x1c-\x1f\x85]+$', ''), '')"
 ORACLES = {

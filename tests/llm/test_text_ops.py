@@ -357,6 +357,33 @@ def test_budgets_go_to_siblings_before_ancestors():
     assert sum(b.values()) == pytest.approx(220)
 
 
+def test_a_plan_of_three_levels_by_hand():
+    leaves = [("a", "en", 40), ("a", "fr", 60), ("b", "en", 1000), ("c", "fr", 100), ("d", "en", 1000)]
+    targets, domains = {"a": (0.4, 1), "b": (0.1, 1), "c": (0.1, 1), "d": (0.4, 1)}, {"a": "x", "b": "x", "c": "x"}
+    # 500 tokens: domain x 300 and d 200; in x, en weighs 0.26 (a 0.16, b 0.1) and fr 0.34 (a 0.24, c 0.1): 130 and 170
+    # en: a has 40 of its 80, b takes 50 + 40; fr: a has 60 of its 120, c takes 50 + 50, and 10 are left for en of x, where b takes them
+    b = mixture.plan_budgets(leaves, targets, 500, domains)
+    assert {k: round(v, 6) for k, v in b.items()} == {("a", "en"): 40, ("b", "en"): 100, ("a", "fr"): 60, ("c", "fr"): 100, ("d", "en"): 200}
+    # 2,400 tokens: x can give 1,200 of its 1,440, so d would have 960 + 240 but holds 1,000 only
+    b = mixture.plan_budgets(leaves, targets, 2400, domains)
+    assert sum(b.values()) == pytest.approx(2200) and b["d", "en"] == pytest.approx(1000)
+
+
+def test_a_total_that_leaves_short(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join("word" for _ in range(rng.randrange(1, 60))), rng.choice(["en", "fr"]), s, 1, "c", "c") for i, s in enumerate(["big"] * 900 + ["mid"] * 300 + ["small"] * 30)]
+    docs = spark.createDataFrame(rows + rows[:5], DOCS)  # repeated ids keep their rows
+    goal = spark.createDataFrame([("big", 0.3, 1), ("mid", 0.3, 2), ("small", 0.4, 3)], "source string, target_share double, max_repeats int")
+    out = mixture.mixed_documents(docs, goal, domains={"mid": "x", "small": "x"}, once=True)
+    assert out.count() == len(rows) + 5
+    got = {r.source: r for r in mixture.mix_shares(out, goal).collect()}
+    total = sum(r.available_tokens for r in got.values())
+    assert got["small"].most_uses == 3 and got["small"].used_tokens == 3 * got["small"].available_tokens
+    # the domain's other source takes what the small one lacks, as far as it can, before the other domain does
+    assert got["mid"].used_tokens == pytest.approx(min(2 * got["mid"].available_tokens, 0.7 * total - got["small"].used_tokens), rel=0.02)
+    assert sum(r.used_tokens for r in got.values()) == pytest.approx(total, rel=0.02)
+
+
 def test_token_counts_are_exact():
     import base64
 
