@@ -8,18 +8,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_id
-from ..session import discard, materialize
+from ..session import discard, marks_of, materialize
 
-WORD = re.compile(r"[^\W\d_]{2,40}")
+WORD = re.compile(r"[^\W\d_]{2,}")
 RARE = 2_000  # a term must be in one of RARE documents (at most RARE x mean distinct terms are), or in three that are labelled with one subject
 SLICES = 6
 MAX_SUBJECTS = 200
-_BAG = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+MAX_STATE = 1 << 29  # bytes of the weights of terms x topics, which the driver holds and every task reads
+BLOCK_BYTES = 1 << 20  # of the sums of one task that travel as one row
+FAN = 100  # tasks whose sums are added in one place, and such places that are added in one place
 
 
 def term_bags(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,7 +56,14 @@ def term_bags(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 cuts = np.searchsorted(owner[at], np.arange(1, len(lists)))
                 yield pd.DataFrame({"doc_id": part.iloc[:, 0].to_numpy(), "terms": np.split(flat[at], cuts) if len(lists) else [], "counts": np.split(counts, cuts) if len(lists) else []})
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).where("doc_id is not null").mapInPandas(run, _BAG)
+    schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text)).where("doc_id is not null").mapInPandas(run, schema)
+
+
+def stored_bags(documents: DataFrame, seed: int = 13) -> DataFrame:
+    """:func:`term_bags` as a table with a folder for each slice of the fit, so that a step of it reads its slice only; the number of documents is taken on the way."""
+    bags = term_bags(documents).withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SLICES)).cast("int"))
+    return materialize(bags, partition_by="slice", marks={"n": F.count(F.lit(1))})
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -121,7 +131,7 @@ def infer(w: np.ndarray, c: np.ndarray, owner: np.ndarray, n: int, beta: np.ndar
     return gamma, stats
 
 
-def fit_topics(bags: DataFrame, labels: DataFrame, background: int = 6, alpha: float = 0.1, eta: float = 0.01, strength: float = 0.3, slices: int = SLICES, seed: int = 13) -> Topics:
+def fit_topics(bags: DataFrame, labels: DataFrame, background: int = 6, alpha: float = 0.1, eta: float = 0.01, strength: float = 0.3, seed: int = 13) -> Topics:
     """Online variational Bayes over all documents, a slice of them in each step.
 
     One topic for each subject has a prior on the terms that its hand-labelled
@@ -131,13 +141,14 @@ def fit_topics(bags: DataFrame, labels: DataFrame, background: int = 6, alpha: f
     terms (by weight and rarity) are held against the labelled documents, and
     it takes the subject in which they mostly occur, or none. Term and label
     counts cover all documents; only sums of a size of terms x topics reach the
-    driver, where the terms are bounded by ``RARE`` and by the labelled documents.
+    driver, where the terms are bounded by ``RARE`` and by the labelled documents, and the bytes of it by ``MAX_STATE``. The sums of the tasks are
+    added in two steps, so no task holds more than ``FAN`` of them, up to FAN x FAN tasks. ``bags`` is a table of :func:`stored_bags`.
     """
     spark = bags.sparkSession
-    n = bags.count()
+    n = marks_of(bags)["n"]
     if not n:
         return Topics(np.zeros(0, np.int64), np.zeros((0, 0)), [], [], alpha)
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), clean_id("subject").alias("subject")).where("subject is not null and doc_id is not null").distinct()
+    lab = labels.select(F.col("doc_id").cast(bags.schema["doc_id"].dataType).alias("doc_id"), clean_id("subject").alias("subject")).where("subject is not null and doc_id is not null").distinct()
     # the row without subject counts every labelled document once
     held = lab.union(lab.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("subject")))
     near = materialize(held.join(bags.select("doc_id", "terms"), "doc_id").select("subject", F.explode("terms").alias("t")).groupBy("subject", "t").agg(F.count("*").alias("n")).where("n >= 2"))
@@ -162,6 +173,8 @@ def fit_topics(bags: DataFrame, labels: DataFrame, background: int = 6, alpha: f
     rate = count / np.maximum(np.array([docs[s] for s in subjects]), 1)[:, None] if subjects else count
     rng = np.random.default_rng(seed)
     k = len(subjects) + background
+    if 8 * k * len(terms) > MAX_STATE:
+        raise ValueError(f"{len(terms)} terms and {k} topics take more than {MAX_STATE} bytes; lower RARE")
     prior = np.full((k, len(terms)), eta)
     seeded = np.zeros(len(terms), bool)
     if subjects:
@@ -174,9 +187,8 @@ def fit_topics(bags: DataFrame, labels: DataFrame, background: int = 6, alpha: f
     weight = prior.copy()
     weight[len(subjects) :] += np.where(seeded, 0.02, 1.0) * df * rng.gamma(2.0, 0.5, (background, len(terms))) / max(1, background)
 
-    sliced = bags.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(slices)))
-    blocks = 16
-    for step in range(slices):
+    blocks = max(1, -(-8 * k * len(terms) // BLOCK_BYTES))
+    for step in range(SLICES):
         state = spark.sparkContext.broadcast((terms, np.ascontiguousarray(_expected(weight).T)))
 
         def expect(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
@@ -187,13 +199,18 @@ def fit_topics(bags: DataFrame, labels: DataFrame, background: int = 6, alpha: f
                 total += infer(w, c, owner, len(pdf), beta, alpha)[1]
                 docs_seen += len(pdf)
             if docs_seen:
-                parts = np.array_split(total, blocks)
-                yield pd.DataFrame({"block": range(blocks), "docs": [docs_seen] + [0] * (blocks - 1), "stats": [p.astype(np.float64).tobytes() for p in parts]})
+                place = TaskContext.get().partitionId() // FAN
+                yield pd.DataFrame({"block": range(blocks), "place": place, "docs": [docs_seen] + [0] * (blocks - 1), "stats": [p.tobytes() for p in np.array_split(total, blocks)]})
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"block": pdf.block.iloc[:1], "docs": [pdf.docs.sum()], "stats": [np.sum([np.frombuffer(x) for x in pdf.stats], axis=0).tobytes()]})
-
-        got = sliced.where(F.col("slice") == step).select("terms", "counts").mapInPandas(expect, "block int, docs long, stats binary").groupBy("block").applyInPandas(add, "block int, docs long, stats binary").toPandas().sort_values("block")
+            total = np.frombuffer(pdf.stats.iloc[0]).copy()
+            for x in pdf.stats.iloc[1:]:
+                total += np.frombuffer(x)
+            return pd.DataFrame({"block": pdf.block.iloc[:1], "place": pdf.place.iloc[:1], "docs": [pdf.docs.sum()], "stats": [total.tobytes()]})
+
+        kind = "block int, place int, docs long, stats binary"
+        sums = bags.where(F.col("slice") == step).select("terms", "counts").mapInPandas(expect, kind).groupBy("block", "place").applyInPandas(add, kind)
+        got = sums.groupBy("block").applyInPandas(add, kind).toPandas().sort_values("block")
         if len(got) and got.docs.sum():
             stats = np.concatenate([np.frombuffer(x) for x in got.stats]).reshape(len(terms), k).T
             new = prior + stats * n / got.docs.sum()
@@ -231,7 +248,7 @@ def subject_shares(bags: DataFrame, topics: Topics) -> DataFrame:
             i, j = np.nonzero(mass >= 0.5)
             yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy()[i], "subject": np.array(names, object)[j], "mass": mass[i, j].astype(float), "share": (mass / total[:, None])[i, j].astype(float)})
 
-    return bags.mapInPandas(run, "doc_id long, subject string, mass double, share double")
+    return bags.select("doc_id", "terms", "counts").mapInPandas(run, T.StructType([bags.schema["doc_id"], *T._parse_datatype_string("subject string, mass double, share double").fields]))
 
 
 def assign(bags: DataFrame, topics: Topics, least_share: float = 0.04, least_mass: float = 3.0, of_top: float = 0.22) -> DataFrame:
@@ -253,27 +270,27 @@ def document_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:
     repeated ones change nothing; without labels topics are fitted but none can be
     named, so the result is empty.
     """
-    bags = materialize(term_bags(documents))
+    bags = stored_bags(documents)
     return assign(bags, fit_topics(bags, labels))
 
 
 def topic_terms(documents: DataFrame, labels: DataFrame, top: int = 12) -> DataFrame:
     """``topic, subject, rank, term, weight``: the top terms of each fitted topic, for inspection."""
     spark = documents.sparkSession
-    bags = materialize(term_bags(documents))
+    bags = stored_bags(documents)
     t = fit_topics(bags, labels)
     rows = []
     for k in range(len(t.of_topic)):
         for r, i in enumerate(np.argsort(-t.weight[k])[:top] if len(t.terms) else []):
             rows.append((k, t.of_topic[k], r + 1, int(t.terms[i]), float(t.weight[k, i])))
     wanted = spark.createDataFrame(rows, "topic int, subject string, rank int, h long, weight double")
-    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nl}\p{No}]{2,40}"), F.lit(0)))).alias("term")).distinct().withColumn("h", F.xxhash64("term"))
+    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Nl}\p{No}]{2,}"), F.lit(0)))).alias("term")).distinct().withColumn("h", F.xxhash64("term"))
     return words.join(F.broadcast(wanted), "h").select("topic", "subject", "rank", "term", "weight")
 
 
 def composition(found: DataFrame, documents: DataFrame) -> DataFrame:
     """``subject, n_docs, share_of_docs``: the make-up of the corpus; documents without subject are ``none``."""
-    all_docs = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    all_docs = documents.select("doc_id").where("doc_id is not null")
     total = all_docs.agg(F.count("*").alias("total"))
     by = all_docs.join(found, "doc_id", "left").groupBy(F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.countDistinct("doc_id").alias("n_docs"))
     return by.crossJoin(F.broadcast(total)).select("subject", "n_docs", (F.col("n_docs") / F.col("total")).alias("share_of_docs"))
