@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_id
-from ..session import discard, materialize
+from ..session import discard, marks_of, materialize
 
 
-def _state(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _write(sets: DataFrame) -> DataFrame:
+    """The rows as a table, with their number and a sum of their hashes taken on the way."""
+    return materialize(sets, marks={"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))})
 
 
 def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -27,17 +27,16 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     once; an empty table gives an empty result.
     """
     e = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).where("v is not null and u is not null and v <> u")
-    cur = materialize(e.union(e.select("u", "v")).union(e.select("v", F.col("v").alias("u"))).union(e.select("u", F.col("u").alias("v"))).distinct())
-    seen = _state(cur)
+    cur = _write(e.union(e.select("u", "v")).union(e.select("v", F.col("v").alias("u"))).union(e.select("u", F.col("u").alias("v"))).distinct())
     for _ in range(max_rounds):
         least = cur.groupBy("v").agg(F.min("u").alias("m"))
         sent = cur.join(least, "v")
-        new = materialize(sent.select(F.col("m").alias("v"), "u").union(sent.select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct())
+        new = _write(sent.select(F.col("m").alias("v"), "u").union(sent.select(F.col("u").alias("v"), F.col("m").alias("u"))).distinct())
+        settled = marks_of(new) == marks_of(cur)
         discard(cur)
-        now, cur = _state(new), new
-        if now == seen:
+        cur = new
+        if settled:
             break
-        seen = now
     else:
         raise RuntimeError("hash-to-min did not settle; raise max_rounds")
     return cur.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "member")

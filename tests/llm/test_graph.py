@@ -104,3 +104,33 @@ def test_split_of_nothing_and_without_shares(spark):
     assert groupsplit.split_components(none, goal).count() == 0 and groupsplit.tied_rows(none).count() == 0
     with pytest.raises(ValueError):
         groupsplit.split_components(none, goal.where(F.lit(False)))
+
+
+def test_the_best_assignment_is_exact_at_any_size():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (50, 3000):
+        parts = [[(0, float(x)), (1 + int(rng.integers(3)), float(x))] for x in rng.integers(1, 9, n)]
+        sums = np.zeros(4)
+        for part in parts:
+            for c, x in part:
+                sums[c] += x
+        goal = np.array([0.8, 0.1, 0.1])[:, None] * sums
+        at, low = groupsplit.anneal(parts, [0] * n, goal, 5)
+        dev = -goal
+        for part, q in zip(parts, at):
+            for c, x in part:
+                dev[q, c] += x
+        assert (np.abs(dev) / np.maximum(goal.sum(axis=0), 1)).sum() == pytest.approx(low, abs=1e-6) and low < 0.05
+
+
+def test_any_number_of_labels_and_ids_that_are_no_numbers(spark):
+    rng = random.Random(2)
+    rows = [(f"r{i:04}", "t", f"d{rng.randrange(200)}", None, f"label {rng.randrange(90)}", "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, ROW.replace("row_id long", "row_id string"))
+    goal = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split string, share double")
+    out = groupsplit.split_components(df, goal).collect()
+    assert len(out) == 1000 and abs(sum(r.split == "train" for r in out) - 800) <= 16
+    by_set = {}
+    assert all(by_set.setdefault(r.set_id, r.split) == r.split for r in out)
