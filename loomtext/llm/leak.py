@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -10,9 +11,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_ITEM_WORDS = 20_000_000
+ITEM_LETTERS = 120_000_000  # letters of items that one automaton takes; more are dealt to several, each with a scan of its own
 
 _DROP = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
 _LOWER = bytes(ord(chr(c).lower()) if c < 128 else c for c in range(256))
@@ -159,7 +161,7 @@ class Items:
             self.size.append(n)
             self.text.append("".join(words))
             self.start.append(start)
-            for i in range(len(words) - n + 1):
+            for i in self._seeds(words, n, need):
                 found.setdefault("".join(words[i : i + n]), []).append((k, i))
         self.auto = ahocorasick.Automaton()
         for pattern, at in found.items():
@@ -168,6 +170,19 @@ class Items:
             self.auto.make_automaton()
         self.empty = not found
 
+    def _seeds(self, words: list[str], n: int, need: int) -> list[int]:
+        """Where the patterns of an item begin: every run of ``n`` words; of single words only so many, the longest, that every passage of ``need`` words holds more of them than may be changed."""
+        if n > 1 or need <= self.slips + 1:
+            return list(range(len(words) - n + 1))
+        room, taken = [0] * (len(words) - need + 1), []
+        for i in sorted(range(len(words)), key=lambda i: (-len(words[i]), i)):
+            over = range(max(0, i - need + 1), min(i, len(words) - need) + 1)
+            if any(room[x] <= self.slips for x in over):
+                taken.append(i)
+                for x in over:
+                    room[x] += 1
+        return sorted(taken)
+
     def _gap(self, k: int, i: int, c: int, q: int, step: int, marks: Words) -> int:
         """The farthest character up to which the words of the document in the place of words ``i``, ... (``c`` of them) may reach from ``q``."""
         room = sum(len(w) + max(4, len(w) // 2) for w in (self.words[k][i + step * x] for x in range(c)))
@@ -217,6 +232,8 @@ class Items:
         marks = Words(body, len(doc))
         for end, (length, at) in self.auto.iter(doc):
             first = end + 1 - length
+            if length <= 3 and not marks.whole(first, end + 1):
+                continue
             for k, i in at:
                 line = (k, first - self.start[k][i])
                 if done.get(line, -1) >= end:
@@ -234,36 +251,42 @@ class Items:
 def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", slips: int = 2, offsets: bool = False) -> DataFrame:
     """``item_id, doc_id[, n_words, start, stop]``: each document that holds at least half of an item's words as one passage.
 
-    The items are the held-out set; they are read to the driver and sent to all
-    tasks, so their size is checked against ``MAX_ITEM_WORDS``. Every document
-    is read once, whole, without a shuffle; only rows with a finding leave the
+    The items are the held-out set. Their letters are counted first; up to ``ITEM_LETTERS`` of them make one automaton,
+    which is built once and broadcast, and every document is read once, whole, without a shuffle. More items are dealt by hash to as many
+    automata as they need, each with a scan of the documents. Only rows with a finding leave a
     scan. Letter case, accents, punctuation and any white space are ignored,
     entities and broken encodings are undone, and up to ``slips`` words of the
     passage may be changed. ``start, stop`` are offsets into the original text.
     Null or empty texts hold nothing; repeated items are found each; copies of
     a document are found each; an empty item table gives an empty result.
     """
-    held = sorted({(r[0], r[1]) for r in items.select(item_id, item_text).toLocalIterator() if r[1] and r[0] is not None})
-    if sum(len(t) for _, t in held) > 6 * MAX_ITEM_WORDS:
-        raise ValueError("the items are too large for one automaton; pass them in parts")
-    shared = documents.sparkSession.sparkContext.broadcast(held)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto = Items(shared.value, slips)
-        for pdf in batches:
-            rows = []
-            for doc, body in zip(pdf[doc_id], pdf[text]):
-                if not body:
-                    continue
-                found = auto.find(squeeze(body), body)
-                if found and offsets:
-                    at = squeeze_with_offsets(body)[1]
-                    rows += [(auto.ids[k], doc, w, at[min(lo, len(at) - 1)], at[min(hi, len(at)) - 1] + 1) for k, (w, lo, hi) in found.items()]
-                else:
-                    rows += [(auto.ids[k], doc, w, None, None) for k, (w, lo, hi) in found.items()]
-            if rows:
-                yield pd.DataFrame(rows, columns=["item_id", "doc_id", "n_words", "start", "stop"]).astype({"start": "Int64", "stop": "Int64"})
-
+    spark = documents.sparkSession
+    held = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("t")).where("id is not null and t <> ''").distinct()
+    letters = held.agg(F.sum(F.length("t"))).first()[0] or 0
+    deals = max(1, -(-letters // ITEM_LETTERS))
     schema = T.StructType([T.StructField("item_id", items.schema[item_id].dataType), T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("n_words", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-    found = documents.select(doc_id, text).mapInPandas(scan, schema)
+
+    def scanned(deal: int) -> DataFrame:
+        own = held if deals == 1 else held.where(F.pmod(F.xxhash64("id", "t"), F.lit(deals)) == deal)
+        shared = spark.sparkContext.broadcast(Items(sorted((r[0], r[1]) for r in own.toLocalIterator()), slips))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            auto = shared.value
+            for pdf in batches:
+                rows = []
+                for doc, body in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+                    if not body:
+                        continue
+                    found = auto.find(squeeze(body), body)
+                    if found and offsets:
+                        at = squeeze_with_offsets(body)[1]
+                        rows += [(auto.ids[k], doc, w, at[min(lo, len(at) - 1)], at[min(hi, len(at)) - 1] + 1) for k, (w, lo, hi) in found.items()]
+                    else:
+                        rows += [(auto.ids[k], doc, w, None, None) for k, (w, lo, hi) in found.items()]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["item_id", "doc_id", "n_words", "start", "stop"]).astype({"start": "Int64", "stop": "Int64"})
+
+        return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).mapInPandas(scan, schema)
+
+    found = functools.reduce(DataFrame.union, map(scanned, range(deals)))
     return found if offsets else found.select("item_id", "doc_id").distinct()

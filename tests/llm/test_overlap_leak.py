@@ -167,3 +167,55 @@ def test_broken_encodings_and_accents():
     for t in (s, broken, "a&eacute;b c&#233;", "éa"):
         flat, at = leak.squeeze_with_offsets(t)
         assert flat == leak.squeeze(t) and len(at) == len(flat)
+
+
+def test_more_items_than_one_automaton_takes(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(i, "en", sentence(rng, 24), "test", "x") for i in range(40)]
+    docs = [(i, sentence(rng, 20) + " " + items[i % 40][2] + " " + sentence(rng, 5), "c") for i in range(80)]
+    a, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
+    want = {(i % 40, i) for i in range(80)}
+    assert {tuple(r) for r in leak.leaked_passages(a, b).collect()} == want
+    monkeypatch.setattr(leak, "ITEM_LETTERS", 700)
+    assert {tuple(r) for r in leak.leaked_passages(a, b).collect()} == want
+
+
+def test_short_items_against_every_place(spark):
+    """Items of a few words: a document is found if some stretch of its words is half of the item but for two words."""
+    rng = random.Random(13)
+    names = [f"{a}{b}" for a in ("kor", "lim", "vas", "tup") for b in ("ande", "ilo", "usto")]
+    items = [(i, "en", " ".join(rng.sample(names, 8)), "test", "x") for i in range(8)]
+    docs = []
+    for i in range(160):
+        w = items[i % 8][2].split()
+        lo = rng.randrange(3)
+        w = w[lo : lo + rng.randint(3, 6)]
+        for k in rng.sample(range(len(w)), rng.randrange(3) if len(w) > 3 else 0):
+            w[k] = "xxxx" + str(rng.randrange(9))
+        docs.append((i, "wwwww qqqqq " + " ".join(w) + " zzzzz yyyyy", "c"))
+    got = {tuple(r) for r in leak.leaked_passages(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()}
+
+    def edits(x, y):
+        prev = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            cur = [i]
+            for j, q in enumerate(y, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (p != q)))
+            prev = cur
+        return prev[-1]
+
+    def holds(item, doc, moved=0):
+        x, y, need = item.split(), doc.split(), 4
+        for size in range(need, len(x) + 1):
+            for i in range(len(x) - size + 1):
+                for j in range(len(y)):
+                    for other in range(size - moved, size + moved + 1):
+                        if j + other <= len(y) and (edits(x[i : i + size], y[j : j + other]) <= 3 if moved else sum(p != q for p, q in zip(x[i : i + size], y[j : j + size])) <= 2):
+                            return True
+        return False
+
+    want = {(i[0], d[0]) for i in items for d in docs if holds(i[2], d[1])}
+    text = {i[0]: i[2] for i in items}, {d[0]: d[1] for d in docs}
+    assert len(want) > 100 and want <= got
+    # beyond that only passages in whose changed words one more is left out or put in, for white space may stand inside a word
+    assert not [(text[0][i], text[1][d]) for i, d in got - want if not holds(text[0][i], text[1][d], 2)]
