@@ -11,7 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -418,15 +418,15 @@ class Scanned:
         self.entries, self.findings, self.tokens, self.corrections, self.kept = entries, findings, tokens, corrections, kept
 
 
-def hyphen_evidence(tokens: DataFrame) -> DataFrame:
+def hyphen_evidence(tokens: DataFrame, plain: DataFrame) -> DataFrame:
     """``full, hyph``: the broken words whose hyphen is their own.
 
-    For each word that comes broken, the table is asked how often it stands whole and how often with a hyphen
+    ``tokens`` are the special ones, ``plain`` the numbers of all others. For each word that comes broken, the table is asked how often it stands whole and how often with a hyphen
     inside a line. The more frequent form is taken; where neither is ever seen, a word whose
     halves are both words of their own keeps its hyphen. A hyphen of a headword that nothing but itself speaks for stays too.
     """
-    form = F.when(F.col("compound"), F.col("hyph")).when(F.col("hyph").isNull(), F.col("word"))
-    forms = tokens.where("word is not null").select(form.alias("form"), "capitals").where("form is not null").groupBy("form", "capitals").agg(F.count("*").alias("k"))
+    compounds = tokens.where("compound").groupBy(F.col("hyph").alias("form"), "capitals").agg(F.count("*").alias("k"))
+    forms = plain.select(F.col("word").alias("form"), "capitals", F.col("n").alias("k")).union(compounds)
     broken = tokens.where("hyph is not null and not compound").select(F.col("word").alias("full"), "hyph", "capitals").distinct()
     halves = broken.withColumn("left", F.regexp_extract("hyph", r"([^-]+)-[^-]+$", 1)).withColumn("right", F.regexp_extract("hyph", r"([^-]+)$", 1))
     for c, name in (("full", "whole"), ("hyph", "split"), ("left", "n_left"), ("right", "n_right")):
@@ -479,38 +479,39 @@ def examine(scans: DataFrame, rec_id: str = "rec_id", headword: str = "kikongo",
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # plain words first: their lines and letters only
-            recs, lines, raws, more = [], [], [], []
+            out = []
             for rec, kik, body, heads in zip(*(c.to_pylist() for c in batch.columns)):
                 e = entry_tokens(body, kik, set(heads))
-                for line, words in e.plain:
-                    raws += words
-                    recs += [rec] * len(words)
-                    lines += [line] * len(words)
-                more += [(rec, line, -1, line, None, None, False, True, kind) for line, kind in e.found]
-                more += [(rec, t.line, t.cut, t.after, t.raw, spelt(t.parts or [t.raw]), t.compound, t.sure, None) for t in e.special]
-            n = len(raws)
-            rest = list(zip(*more)) or [()] * 9
-            plain = [recs, lines, [-1] * n, lines, raws, [None] * n, [False] * n, [True] * n, [None] * n]
-            yield pa.RecordBatch.from_arrays([pa.array(a + list(b), t) for a, b, t in zip(plain, rest, (id_type, *ints, pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string()))], names=names)
-
-    ints, names = (pa.int32(),) * 3, ["rec_id", "line", "cut", "after", "raw", "hyph", "compound", "sure", "kind"]
+                out += [(rec, line, -1, line, words, None, False, True, None) for line, words in e.plain]
+                out += [(rec, line, -1, line, None, None, False, True, kind) for line, kind in e.found]
+                out += [(rec, t.line, t.cut, t.after, [t.raw], spelt(t.parts or [t.raw]), t.compound, t.sure, None) for t in e.special]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, (id_type, *ints, pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_(), pa.string()))], names=names)
+
+    ints, names = (pa.int32(),) * 3, ["rec_id", "line", "cut", "after", "raws", "hyph", "compound", "sure", "kind"]
     text = T.StringType()
-    types = [scans.schema[rec_id].dataType, *[T.IntegerType()] * 3, text, text, T.BooleanType(), T.BooleanType(), text]
+    types = [scans.schema[rec_id].dataType, *[T.IntegerType()] * 3, T.ArrayType(text), text, T.BooleanType(), T.BooleanType(), text]
     found = materialize(entries.select("rec_id", "kikongo", "body", "heads").mapInArrow(read, T.StructType([T.StructField(n, t) for n, t in zip(names, types)])))
-    found = found.withColumn("word", F.lower("raw")).withColumn("capitals", F.col("line") < 0)
-    kept = materialize(hyphen_evidence(found))
-    broken = found.where("hyph is not null and not compound").join(kept.withColumn("keep", F.lit(True)), [found.word == kept.full, found.hyph == kept.hyph, found.capitals == kept.capitals], "left").select(found["*"], F.coalesce("keep", F.lit(False)).alias("keep"))
+    found = found.withColumn("capitals", F.col("line") < 0)
+    special = found.where("hyph is not null").withColumn("raw", F.col("raws")[0]).withColumn("word", F.lower("raw"))
+    plain_tokens = found.where("raws is not null and hyph is null").withColumn("raw", F.explode("raws")).withColumn("word", F.lower("raw"))
+    large = F.col("raw").rlike(r"^\p{Lu}").alias("large")
+
+    def counted(tokens: DataFrame, n: Column) -> DataFrame:
+        return tokens.groupBy("word", "capitals").agg(n.alias("n"), F.min("large").alias("large"))
+
+    whole = materialize(counted(plain_tokens.select("word", "capitals", large), F.count("*")))
+    kept = materialize(hyphen_evidence(special, whole))
+    broken = special.where("not compound").join(kept.withColumn("keep", F.lit(True)), [special.word == kept.full, special.hyph == kept.hyph, special.capitals == kept.capitals], "left").select(special["*"], F.coalesce("keep", F.lit(False)).alias("keep"))
     findings = found.where("kind is not null").select("rec_id", "line", "kind").union(broken.where("not keep and not sure").select("rec_id", "line", F.lit("hyphen")))
     cols = ["rec_id", "line", "cut", "after", "raw", "word", "capitals"]
     # a word that keeps its hyphen is as many words as it has pieces, the last one on the line where it ends
     pieces = broken.where("keep").select("rec_id", "after", "line", "capitals", F.posexplode(F.split("hyph", "-")).alias("at", "word"), F.size(F.split("hyph", "-")).alias("k"))
     pieces = pieces.withColumn("line", F.when(F.col("at") + 1 == F.col("k"), F.col("after")).otherwise(F.col("line"))).select("rec_id", "line", F.lit(-1).alias("cut"), F.col("line").alias("after"), F.col("word").alias("raw"), "word", "capitals")
-    tokens = found.where("word is not null and hyph is null").select(*cols).union(broken.where("not keep").select(*cols)).union(pieces)
+    tokens = plain_tokens.select(*cols).union(broken.where("not keep").select(*cols)).union(pieces)
     # a headword's words also count as words of the body, where the same language is quoted
-    large = F.col("raw").rlike(r"^\p{Lu}")
-    words = tokens.select("word", "capitals", large.alias("large")).union(tokens.where("capitals").select("word", F.lit(False), F.lit(False)))
-    vocab = materialize(words.groupBy("word", "capitals").agg(F.count("*").alias("n"), F.min("large").alias("name")))
+    words = whole.union(counted(broken.where("not keep").select("word", "capitals", large).union(pieces.select("word", "capitals", large)), F.count("*")))
+    words = words.union(words.where("capitals").select("word", F.lit(False), "n", F.lit(False)))
+    vocab = materialize(words.groupBy("word", "capitals").agg(F.sum("n").alias("n"), F.min("large").alias("name")))
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -546,8 +547,8 @@ def examine(scans: DataFrame, rec_id: str = "rec_id", headword: str = "kikongo",
     own = groups.groupBy("capitals", "g").agg(F.sum("n").alias("all"), F.max(F.struct("n", "word")).alias("top")).where("2 * top.n >= all")
     odd = own.select(F.col("top.word").alias("word"), "capitals", F.lit(True).alias("odd")).distinct()
     bones = vocab.where("not word rlike '^[0-9]+$'").withColumn("bone", boned("word", "capitals"))
-    whole = bones.where(f"n >= 2 and {plain}").select(F.col("word").alias("true"), "capitals", F.col("n").alias("m"), "bone")
-    far = bones.join(whole, ["bone", "capitals"]).where(enough).select("word", "capitals", "n", "name", "true", "m")
+    clean = bones.where(f"n >= 2 and {plain}").select(F.col("word").alias("true"), "capitals", F.col("n").alias("m"), "bone")
+    far = bones.join(clean, ["bone", "capitals"]).where(enough).select("word", "capitals", "n", "name", "true", "m")
     fit = met.union(far).distinct().join(odd, ["word", "capitals"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
     fit = fit.withColumn("x", explain("word", "n", "true", "m", "capitals", "name", "odd")).where("x.at is not null").select("word", "capitals", "true", "x.*")
     rank = Window.partitionBy("word", "capitals").orderBy(F.desc("score"), "true")
