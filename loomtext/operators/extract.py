@@ -283,13 +283,23 @@ def align_exact(primary: DataFrame, secondary: DataFrame, values: list[str], hea
     return j.select(*[F.when(F.col("other").isNotNull(), F.col(f"other.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in primary.columns], F.col("other").isNotNull().alias("matched"), "key", "nth")
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    out, matcher = [], difflib.SequenceMatcher()
-    for x, y in zip(a, b):
-        matcher.set_seq2(x)
-        matcher.set_seq1(y)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype=float)
+def _close(cutoff: float):
+    """A function of two columns of keys: their ``difflib`` ratio, or null where the letters in common already show that it is less than ``cutoff``."""
+
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        names, places = np.unique(np.concatenate([a.to_numpy(object), b.to_numpy(object)]).astype(str), return_inverse=True)
+        letters = np.array([np.bincount(np.frombuffer(x.encode(), np.uint8) - 97, minlength=26)[:26] for x in names], np.int32).reshape(len(names), 26)
+        left, right = letters[places[: len(a)]], letters[places[len(a) :]]
+        may = 2 * np.minimum(left, right).sum(axis=1) >= cutoff * (left.sum(axis=1) + right.sum(axis=1)) - 1e-9
+        out, matcher = np.full(len(a), np.nan), difflib.SequenceMatcher()
+        for k in np.flatnonzero(may):
+            matcher.set_seq2(a.iloc[k])
+            matcher.set_seq1(b.iloc[k])
+            out[k] = matcher.ratio()
+        return pd.Series(out)
+
+    ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ratio, T.DoubleType())
 
 
 def close_keys(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
@@ -309,13 +319,7 @@ def close_keys(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     b = right.select(F.col("key").alias("other")).distinct().withColumn("m", F.length("other"))
     spans = b.select("other", "m", F.explode(F.array(*[F.lit(x) for x in sizes] or [F.lit(1)])).alias("size")).where("size <= m").select("other", "m", F.explode(F.expr("transform(sequence(0, m - size), i -> struct(i as pos, substring(other, i + 1, size) as piece))")).alias("s")).select("other", "m", "s.*")
     met = pieces.join(spans, "piece").where("abs(at - pos) <= d").where(F.least("n", "m") * 2 >= cutoff * (F.col("n") + F.col("m")) - 1e-9).select("key", "other").distinct()
-    common = None
-    for ch in "abcdefghijklmnopqrstuvwxyz":
-        of = [F.length(c) - F.length(F.replace(F.col(c), F.lit(ch), F.lit(""))) for c in ("key", "other")]
-        common = F.least(*of) if common is None else common + F.least(*of)
-    met = met.where(2 * common >= cutoff * (F.length("key") + F.length("other")) - 1e-9)
-    _ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return met.withColumn("ratio", F.pandas_udf(_ratio, T.DoubleType())(F.col("key"), F.col("other"))).where(F.col("ratio") >= cutoff)
+    return met.withColumn("ratio", _close(cutoff)("key", "other")).where(F.col("ratio") >= cutoff)
 
 
 def align_fuzzy(primary: DataFrame, secondary: DataFrame, values: list[str], head: str = "kikongo", order: str = "ordinal", cutoff: float = 0.9) -> DataFrame:
