@@ -20,7 +20,7 @@ from ..session import discard, materialize
 
 MAX_GRAMS = 1_000_000
 LONGEST = 64  # letters up to which a word is met by its anagram hash less any two letters or three in a row; longer ones meet by the confusions that were learnt
-LEAST = 3.0  # words that must show a confusion before it counts as learnt
+LEAST, SHARE = 3.0, 0.001  # words, and part of all words with a partner, that must show a confusion before it counts as learnt
 PIECE = 3  # letters that a misread piece, and what stood there, may have
 
 MARKS = re.compile(r"^\s*(?:[|¦!_~:;,.·‘'`*^}{\\<>=]{1,3}(?:\s+|$))+")
@@ -439,8 +439,8 @@ def learn_confusions(met: DataFrame) -> dict[bool, Confusions]:
 
     ``met(word, capitals, n, true, m)`` are words beside much more frequent ones. Each word is explained by the
     exchanges that lead to its partners, at first by each alike, then by each as often as
-    the first count has it; an exchange counts as learnt if it explains ``LEAST`` words, has letters on both sides and isn't
-    bound to the words' ends, as endings of a language are. There are at most as many as pieces of ``PIECE`` letters of the alphabet in pairs.
+    the first count has it; an exchange counts as learnt if it explains ``LEAST`` words and ``SHARE`` of all, has letters on both sides and isn't
+    bound to the words' ends, as endings of a language are. There are at most 1 / ``SHARE`` of them.
     """
 
     @F.pandas_udf("a string, b string, inner boolean")
@@ -452,7 +452,8 @@ def learn_confusions(met: DataFrame) -> dict[bool, Confusions]:
     first = pairs.withColumn("w", 1 / F.count("*").over(by_word)).groupBy("capitals", "a", "b").agg(F.sum("w").alias("c0"))
     again = pairs.join(first, ["capitals", "a", "b"]).withColumn("w", F.col("c0") / F.sum("c0").over(by_word))
     counts = again.groupBy("capitals", "a", "b").agg(F.sum("w").alias("c"), F.sum(F.when(F.col("inner"), F.col("w")).otherwise(0.0)).alias("inside"))
-    rows = counts.where((F.col("c") >= LEAST) & (F.col("inside") >= 0.25 * F.col("c")) & (F.col("a") != "") & (F.col("b") != "")).collect()
+    counts = counts.withColumn("all", F.sum("c").over(Window.partitionBy("capitals")))
+    rows = counts.where((F.col("c") >= F.greatest(F.lit(LEAST), SHARE * F.col("all"))) & (F.col("inside") >= 0.25 * F.col("c")) & (F.col("a") != "") & (F.col("b") != "")).collect()
     discard(pairs)
     out: dict[bool, Confusions] = {}
     for capitals in (True, False):
