@@ -26,15 +26,17 @@ PIECE = 3  # letters that a misread piece, and what stood there, may have
 MARKS = re.compile(r"^\s*(?:[|¦!_~:;,.·‘'`*^}{\\<>=]{1,3}(?:\s+|$))+")
 BREAK = re.compile(r"[^\W\d_†]*[\w†](?:[-‐‑­¬])\s*$")
 HYPHEN = "-‐‑\u00ad¬"
+ENDS = set(HYPHEN)
 COMPOUND = re.compile(rf"[\w†]+(?:[{HYPHEN}]\s*[\w†]+)+")
 HEAD = re.compile(rf"[\w†]+(?:[{HYPHEN}][\w†]+)*$")
 TAIL = re.compile(rf"\s?([\w†]+(?:[{HYPHEN}][\w†]+)*)")
 SEAM = re.compile(rf"[{HYPHEN}]\s*")
 TOKEN = re.compile(r"[\w†]+")
+LETTER = re.compile(r"[^\W_]")
 ONE = re.compile(r"(?<!\w)1[’'](?=[^\W\d])")
 NUMBER = re.compile(r"^(?:p\.?|pag\.?|page)?\s*([0-9OoIlSBZ|]{1,5})$", re.I)
 ORNAMENT = re.compile(r"^[\s|\[\](){}~_.·—–\-]+|[\s|\[\](){}~_.·—–\-]+$")
-SUSPECT = re.compile("[0-9†ﬀ-ﬆ]")
+SUSPECT = re.compile(r"[^\W0-9ﬀ-ﬆ]*[0-9†ﬀ-ﬆ][\w†]*")
 DASHES = re.compile("[‐‑\u00ad¬]")
 LIGATURE = re.compile("[†ﬀ-ﬆ]")
 EDGE_NUMBER = re.compile(r"^\s*[0-9OoIlSBZ]{1,5}(?:\s{2,}|\s*[—–|.-]\s*)|(?:\s{2,}|\s*[—–|.-][\s—–|.-]*)[0-9OoIlSBZ]{1,5}\s*$")
@@ -114,7 +116,7 @@ def line_kind(line: str | None, is_header: bool) -> str:
         return "blank"
     if is_number_line(line):
         return "page_number"
-    if not re.search(r"[^\W_]", line):
+    if not LETTER.search(line):
         return "margin"
     return "header" if is_header else "text"
 
@@ -169,9 +171,8 @@ class Entry:
         got = TOKEN.findall(s)
         if got:
             self.plain.append((line, got))
-            if SUSPECT.search(s) or line < 0:
-                for raw in got:
-                    self.check(raw, line, -1, line)
+            for raw in got if line < 0 else SUSPECT.findall(s):
+                self.check(raw, line, -1, line)
             if "-" in s or DASHES.search(s):
                 self.special += [Token(line, -1, line, m.group(), line < 0, compound=True) for m in COMPOUND.finditer(s)]
 
@@ -204,7 +205,7 @@ def entry_tokens(body: list, kikongo: str | None, heads: set[int]) -> Entry:
             out.found.add((k, kind))
     carry = None
     for i, (k, s) in enumerate(text):
-        broken = bool(BREAK.search(s))
+        broken = s[-1:] in ENDS and bool(BREAK.search(s))
         if broken:
             out.found.add((k, "hyphen"))
             s = s[:-1]
