@@ -90,20 +90,30 @@ class Vectors:
         out = _WORD.findall(s if s.isascii() else unicodedata.normalize("NFKC", s))
         if not source or not self.phrases:
             return out
-        low, merged, i = [w.lower() for w in out], [], 0
+        low, phrases, found, free = [w.lower() for w in out], self.phrases, {}, 0
+        for i, w in enumerate(low):
+            if w in phrases and i >= free:
+                for n in range(min(phrases[w], len(low) - i), 1, -1):
+                    if " ".join(low[i : i + n]) in self.table:
+                        found[i], free = n, i + n
+                        break
+        if not found:
+            return out
+        merged, i = [], 0
         while i < len(out):
-            size = next((n for n in range(min(self.phrases.get(low[i], 1), len(out) - i), 1, -1) if " ".join(low[i : i + n]) in self.table), 1)
-            merged.append(" ".join(out[i : i + size]))
-            i += size
+            n = found.get(i, 1)
+            merged.append(" ".join(out[i : i + n]) if n > 1 else out[i])
+            i += n
         return merged
 
     def slots(self, sentences: list[str | None], source: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sentence, slot and weight of each feature; a slot may come more than once."""
-        cols, weights, owner, sizes = [], [], [], []
+        cols, weights, owner, sizes, cached = [], [], [], [], self.cache
         for k, s in enumerate(sentences):
             # a word said again says less: its weight grows with the square root of its number
-            for w, n in Counter(self.units(s, source)).items() if s else ():
-                slots, own = self.features(w, source)
+            units = self.units(s, source) if s else []
+            for w, n in Counter(units).items():
+                slots, own = cached.get((source, w)) or self.features(w, source)
                 cols += slots
                 weights += own if n == 1 else [x * n**0.5 for x in own]
                 owner.append(k)
