@@ -444,3 +444,25 @@ def test_a_rare_subject_keeps_its_terms(spark, monkeypatch):
     got = {tuple(r) for r in subjects.document_subjects(d, lab).collect()}
     assert len(got & truth) >= 0.97 * len(truth) and len(got - truth) <= 0.03 * len(truth)
     assert sum(s == "chess" for _, s in got & truth) >= 29
+
+
+def test_empty_tables_give_defined_results(spark):
+    rows = spark.createDataFrame([(1, "mwana ke lomba. Masa?", "kg"), (2, None, None)], "row_id long, trg string, trg_lang string")
+    scans_ = spark.createDataFrame([(7, ["un deux", None, "12"])], "rec_id long, body array<string>")
+    lex, passages = spark.createDataFrame([], "lexicon string, form string"), spark.createDataFrame([], "item_id int, lang string, text string")
+    segs, lines = langid.segments_of_both(rows, scans_, lex, passages)
+    assert {(r.rec_id, r.seg_no, r.lang) for r in segs.collect()} == {(1, 0, "und"), (1, 1, "und")} and {(r.rec_id, r.seg_no, r.lang) for r in lines.collect()} == {(7, 0, "und")}
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3, "", "")], DOCS)
+    no_goal = spark.createDataFrame([], "source string, target_share double, max_repeats int")
+    assert [r.uses for r in mixture.mixed_documents(docs, no_goal, once=True).collect()] == [0] and mixture.mix_shares(mixture.mixed_documents(docs, no_goal), no_goal).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, subject string")
+    assert subjects.document_subjects(docs, labels).count() == 0 and subjects.document_subjects(docs.limit(0), labels).count() == 0
+    assert subjects.topic_terms(docs.limit(0), labels).count() == 0 and subjects.composition(subjects.document_subjects(docs, labels), docs).count() == 1
+
+
+def test_subject_ids_of_any_type(spark):
+    words = {"law": "judge court verdict prison lawyer appeal", "music": "drum song choir rhythm melody trumpet"}
+    docs = spark.createDataFrame([(f"d{i}", " ".join([words[s]] * 3 + ["w" * 60])) for i in range(80) for s in [("law", "music")[i % 2]]], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", ("law", "music")[i % 2]) for i in range(40)], "doc_id string, subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.document_subjects(docs, labels).collect()}
+    assert len(got & {(f"d{i}", ("law", "music")[i % 2]) for i in range(80)}) >= 76
