@@ -453,7 +453,7 @@ def learn_confusions(met: DataFrame) -> dict[bool, Confusions]:
     first = pairs.withColumn("w", 1 / F.count("*").over(by_word)).groupBy("capitals", "a", "b").agg(F.sum("w").alias("c0"))
     again = pairs.join(first, ["capitals", "a", "b"]).withColumn("w", F.col("c0") / F.sum("c0").over(by_word))
     counts = again.groupBy("capitals", "a", "b").agg(F.sum("w").alias("c"), F.sum(F.when(F.col("inner"), F.col("w")).otherwise(0.0)).alias("inside"))
-    counts = counts.withColumn("all", F.sum("c").over(Window.partitionBy("capitals")))
+    counts = counts.join(F.broadcast(counts.groupBy("capitals").agg(F.sum("c").alias("all"))), "capitals")
     rows = counts.where((F.col("c") >= F.greatest(F.lit(LEAST), SHARE * F.col("all"))) & (F.col("inside") >= 0.25 * F.col("c")) & (F.col("a") != "") & (F.col("b") != "")).collect()
     discard(pairs)
     out: dict[bool, Confusions] = {}
