@@ -1,11 +1,11 @@
-"""Same or near-same records across splits: a suffix array over partitioned texts, then an exact check."""
+"""Same or near-same records across splits: parts of texts that a change leaves as they are meet by their hashes, then an exact check."""
 
 from __future__ import annotations
 
 import functools
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_id
-from ..session import materialize
-
-LEVELS = (48, 32, 20, 12, 8)  # letters of the prefix by which suffixes meet that begin where words do
-SHORT = (4, 2, 1)  # the same for texts too short for these, whose suffixes begin at every letter
-WIDTH = 64  # letters of a suffix that are compared
-BITS = 1 << 26  # size of the filter over the evaluation side's prefixes: 8 MB whatever the data
-FEW = 16  # suffixes of a key that are looked through without being sorted
-HOT = 20_000  # suffixes of one prefix that one task takes; more are dealt to several
+from ..session import discard, materialize
+
+PARTS = 4  # of a text, of which two slips leave two as they are
+GRID = np.unique(np.concatenate([[0], np.round(1.33 ** np.arange(75)).astype(np.int64)]))  # letters before and after a changed word that are compared
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29  # size of the filter over the evaluation side's keys: 8 bits a key, 64 MB at most
+HOT = 20_000  # training texts of one key that one task takes; more are dealt to several
 LEAST = 5  # letters from which a text may be the same as another that isn't equal
+SPAN = 64  # letters that a shared span needs at most
+CHUNK = 500_000  # letters that are hashed at once
 
 _JOIN = re.compile(r"['’ʼ`´‐‑\-­]")
 _JUNK = re.compile(r"[\W_]+")
@@ -110,180 +110,238 @@ def guaranteed(starts: list[int], size: int) -> int:
     return max(0, min(lo, min(max(u, size - later(v - 1)) for u, v in zip(starts, ends))))
 
 
-def _level(starts: list[int], size: int) -> tuple[int, int]:
-    """The level that a text of the evaluation side takes, and the letters it must share in one span; (0, 0): none."""
+def span_need(starts: list[int], size: int) -> int:
+    """The letters that a shared span of a text needs: every text that is the same has one."""
     need = guaranteed(starts, size)
-    if need >= LEVELS[-1]:
-        return next(k for k in LEVELS if k <= need), min(need, WIDTH)
-    need = -(-(size - 2) // 3)
+    if need >= 8:
+        return min(need, SPAN)
     longest = max(b - a for a, b in zip(starts, [*starts[1:], size]))
-    need = min(need, max(1, -(-(size - longest) // 2)))
-    return (next(k for k in SHORT if k <= need), need) if size >= LEAST else (0, 0)
+    return max(1, min(-(-(size - 2) // 3), -(-(size - longest) // 2)))
 
 
-def _suffixes(pdf: pd.DataFrame, levels: dict[int, tuple[int, int, int]] | None, bits: np.ndarray | None) -> pd.DataFrame:
-    """A row for each suffix that is long enough for a level.
+def covered(a: str, b: str) -> float:
+    """The part of ``a`` that lies in spans shared with ``b``, each at a place that one changed word or two slips can have moved it to."""
+    (x, starts), y = word_starts(a), b.replace(" ", "")
+    if x == y:
+        return 1.0
+    need, n = span_need(starts, len(x)), len(x)
+    p, q = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (x, y))
+    inside = np.zeros(n + 1, np.int64)
+    for move in {-2, -1, 0, 1, 2, len(y) - n}:
+        lo, hi = max(0, -move), min(n, len(y) - move)
+        if hi - lo < need:
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], p[lo:hi] == q[lo + move : hi + move], [0]])))
+        begin, end = edge[::2] + lo, edge[1::2] + lo
+        long = end - begin >= need
+        np.add.at(inside, begin[long], 1)
+        np.add.at(inside, end[long], -1)
+    return float((np.cumsum(inside[:-1]) > 0).mean())
 
-    On the evaluation side (``levels`` None) a text takes one level; on the other
-    side each level whose texts (``levels``: level -> least and most letters, letters of the longest word) may be as long as this one,
-    and only prefixes in the bitmap ``bits`` are kept.
-    """
-    tight, starts = zip(*map(word_starts, pdf.norm)) if len(pdf) else ((), ())
-    size = np.fromiter(map(len, tight), np.int64, len(tight))
-    codes = np.frombuffer("".join(tight).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    m = len(codes)
-    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    count = np.fromiter(map(len, starts), np.int64, len(starts))
-    at = np.fromiter((x for s in starts for x in s), np.int64, int(count.sum()))
-    row = np.repeat(np.arange(len(tight)), count)
-    longest = np.maximum.reduceat(np.diff(np.append(at + first[row], m)), np.cumsum(count) - count) if len(at) else np.zeros(len(tight), np.int64)
-    # sums of code * base^place: a span's hash is its sum times base^-start, taken by the odd inverse
-    base = 0x9E3779B97F4A7C15
-    power, back = (np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(m, np.uint64(x), np.uint64))]) for x in (base, pow(base, -1, 1 << 64)))
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    field = pdf.field.to_numpy().astype(np.uint64)
-    if levels is None:
-        own = [_level(s, n) for s, n in zip(starts, size)]
-        mine, need = (np.array([x[k] for x in own], np.int64) for k in (0, 1))
-    parts = []
-    for level in sorted({*mine.tolist()} - {0}) if levels is None else sorted(levels):
-        if levels is None:
-            take = mine == level
-        else:
-            least, most, word = levels[level]
-            reach = np.maximum(np.maximum(longest, word), 2)
-            take = (size >= least - reach) & (size <= most + reach)
-        if level in SHORT:
-            r = np.repeat(np.flatnonzero(take), size[take])
-            i = np.arange(len(r)) - np.repeat(np.cumsum(size[take]) - size[take], size[take])
-        else:
-            r, i = row[take[row]], at[take[row]]
-        ok = i + level <= size[r]
-        r, i = r[ok], i[ok]
-        g = first[r] + i
-        key = (run[g + level] - run[g]) * back[g]
-        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (field[r] << np.uint64(8)) + np.uint64(level)
-        if bits is not None:
-            low = key % np.uint64(BITS)
-            hit = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            r, i, key = r[hit], i[hit], key[hit]
-        # the letters of the prefix are in its hash
-        text = [tight[x][y + level : y + WIDTH] for x, y in zip(r.tolist(), i.tolist())]
-        parts.append(pd.DataFrame({
-            "key": key.view(np.int64), "id": pdf.id.to_numpy()[r], "pos": i.astype(np.int32), "n": size[r].astype(np.int32), "longest": longest[r].astype(np.int32),
-            "need": need[r].astype(np.int32) if levels is None else np.int32(0), "level": np.int32(level), "text": text,
-        }))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["key", "id", "pos", "n", "longest", "need", "level", "text"])
-
-
-_ROWS = "key long, id long, pos int, n int, longest int, need int, level int, text string"
-
-
-def _shared(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    return n if a[:n] == b[:n] else next(i for i in range(n) if a[i] != b[i])
-
-
-def _scan(rows: pd.DataFrame) -> pd.DataFrame:
-    """Shared spans ``(id_eval, id_train, pos, size)`` of whole keys: the suffix array of the rows, and each evaluation suffix's neighbours in it.
-
-    Neighbours with the needed common prefix are one stretch of the sorted rows. Of those only texts count that may be the
-    same by their lengths, at a place that one changed word or two slips can have moved them to.
+
+@F.pandas_udf(T.DoubleType())
+def coverage_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([covered(x, y) for x, y in zip(a, b)], dtype=float)
+
+
+_M = (1 << 64) - 1
+
+
+def _key(kind: int, field: np.ndarray, place: np.ndarray | int, *hashes: np.ndarray) -> np.ndarray:
+    """64-bit keys of what stands at a place: ``kind`` 0 a part, 1 two parts, 2 a prefix, 3 a suffix, 4 both."""
+    h = field * np.uint64(0xC2B2AE3D27D4EB4F) + np.asarray(place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind * 0x165667B19E3779F9 & _M)
+    for x in (*hashes, np.uint64(1)):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + x
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+class _Letters:
+    """Texts without spaces, and the hash of any of their spans."""
+
+    def __init__(self, norm: list[str], field: np.ndarray) -> None:
+        self.tight, self.starts = zip(*map(word_starts, norm))
+        self.size = np.fromiter(map(len, self.tight), np.int64, len(norm))
+        self.longest = np.array([max(b - a for a, b in zip(s, [*s[1:], n])) for s, n in zip(self.starts, self.size.tolist())], np.int64)
+        self.field = field.astype(np.uint64)
+        codes = np.frombuffer("".join(self.tight).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.first = np.cumsum(self.size) - self.size
+        # which of 64 groups of letters occur an odd number of times: a letter added or dropped changes one bit, a replaced one two
+        self.odd = np.bitwise_xor.reduceat(np.uint64(1) << ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)), self.first).view(np.int64)
+        # sums of code * base^place: a span's hash is its sum times base^-start, taken by the odd inverse
+        base = 0x9E3779B97F4A7C15
+        power, self.back = (np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(codes), np.uint64(x), np.uint64))]) for x in (base, pow(base, -1, 1 << 64)))
+        self.run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+
+    def span(self, r: np.ndarray, lo: np.ndarray | int, hi: np.ndarray | int) -> np.ndarray:
+        at = self.first[r] + lo
+        return (self.run[self.first[r] + hi] - self.run[at]) * self.back[at]
+
+
+def _chunks(pdf: pd.DataFrame) -> Iterator[tuple[_Letters, np.ndarray]]:
+    """The texts of a batch and their ids, so many at once as ``CHUNK`` letters hold."""
+    if len(pdf):
+        of = pdf.norm.str.len().cumsum().to_numpy() // CHUNK
+        for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(of)) + 1):
+            rows = pdf.iloc[part]
+            yield _Letters(rows.norm.tolist(), rows.field.to_numpy()), rows.id.to_numpy()
+
+
+_ROWS = "key long, id long, n int, longest int, odd long, far int"
+
+
+def _rows(x: _Letters, ids: np.ndarray, r: np.ndarray, key: np.ndarray, far: int = 64) -> pd.DataFrame:
+    """``far``: bits of ``odd`` in which a partner by this key may differ."""
+    return pd.DataFrame({"key": key.view(np.int64), "id": ids[r], "n": x.size[r].astype(np.int32), "longest": x.longest[r].astype(np.int32), "odd": x.odd[r], "far": np.int32(far)})
+
+
+def _evaluation_keys(x: _Letters, ids: np.ndarray) -> pd.DataFrame:
+    """The keys of texts of the evaluation side; those that only go into the filter have ``far`` -1.
+
+    Any two parts of a text, whole; and for each word, what stands before it and after it, as far as the grid goes.
     """
-    side, keys = rows.side.to_numpy(), rows.key.to_numpy()
-    ev, tr = rows[side], rows[~side]
-    ev, tr = ev[np.isin(keys[side], keys[~side])], tr[np.isin(keys[~side], keys[side])]
-    out: list[tuple] = []
-    if len(tr):
-        tr = tr.iloc[np.argsort(tr.key.to_numpy(), kind="stable")]
-        cols = [tr[c].tolist() for c in ("text", "id", "pos", "n", "longest")]
-        texts, ids, pos, n, longest = cols
-        bounds = (np.searchsorted(tr.key.to_numpy(), ev.key.to_numpy(), x).tolist() for x in ("left", "right"))
-        done: set[int] = set()
-        for a, b, i, p, size, word, need, level, text in zip(*bounds, *(ev[c].tolist() for c in ("id", "pos", "n", "longest", "need", "level", "text"))):
-            start = text[: max(0, need - level)]
-            if b - a > FEW and a not in done:
-                # the suffix array of this key
-                order = sorted(range(a, b), key=texts.__getitem__)
-                for c in cols:
-                    c[a:b] = [c[k] for k in order]
-                done.add(a)
-            for k in range(bisect_left(texts, start, a, b) if b - a > FEW else a, b):
-                if not texts[k].startswith(start):
-                    if b - a > FEW:
-                        break
-                    continue
-                more, moved = n[k] - size, pos[k] - p
-                if (moved == more or -2 <= moved <= 2) and abs(more) <= max(longest[k], word, 2):
-                    out.append((i, ids[k], p, level + _shared(text, texts[k])))
-    return pd.DataFrame(out, columns=["id_eval", "id_train", "pos", "size"])
-
-
-def shared_spans(texts: DataFrame) -> DataFrame:
-    """``id_eval, id_train, spans, covered, letters``: pairs of different texts with long shared spans at about the same place.
+    r = np.flatnonzero(x.size >= LEAST)
+    n, field = x.size[r], x.field[r]
+    cuts = [t * n // PARTS for t in range(PARTS + 1)]
+    parts = [x.span(r, a, b) for a, b in zip(cuts, cuts[1:])]
+    single = [_key(0, field, n * PARTS + t, h) for t, h in enumerate(parts)]
+    out = [_rows(x, ids, r, _key(1, field, (n * PARTS + i) * PARTS + j, parts[i], parts[j]), 4) for i in range(PARTS) for j in range(i + 1, PARTS)]
+    count = np.fromiter((len(x.starts[k]) for k in r), np.int64, len(r))
+    w = np.repeat(r, count)
+    lo = np.fromiter((p for k in r for p in x.starts[k]), np.int64, int(count.sum()))
+    hi = np.append(lo[1:], 0)
+    hi[np.cumsum(count) - 1] = n
+    a, b = (GRID[np.searchsorted(GRID, v, "right") - 1] for v in (lo, x.size[w] - hi))
+    w, a, b = np.unique(np.stack([w, a, b]), axis=1)
+    before, after = x.span(w, 0, a), x.span(w, x.size[w] - b, x.size[w])
+    single += [_key(2, x.field[w], a, before), _key(3, x.field[w], b, after)]
+    out.append(_rows(x, ids, w, _key(4, x.field[w], (a << 31) + b, before, after)))
+    only = np.unique(np.concatenate(single))
+    out.append(pd.DataFrame({"key": only.view(np.int64), "id": 0, "n": np.int32(0), "longest": np.int32(0), "odd": 0, "far": np.int32(-1)}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _moves() -> dict[int, list[tuple[int, int, int, int]]]:
+    """By how much longer a text is: two parts of the other and their moves in it, where at most two letters are added, dropped or replaced in the other parts."""
+    out: dict[int, set] = {}
+    for i in range(PARTS):
+        for j in range(i + 1, PARTS):
+            before, between, after = (range(-2, 3) if some else (0,) for some in (i > 0, j > i + 1, j < PARTS - 1))
+            for p in before:
+                for q in between:
+                    for s in after:
+                        if abs(p) + abs(q) + abs(s) <= 2:
+                            out.setdefault(p + q + s, set()).add((i, p, j, p + q))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+MOVES = _moves()
+
+
+def _training_keys(x: _Letters, ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
+    """The keys of texts of the training side that are in the filter ``bits``; ``sizes`` tells which lengths the evaluation side has."""
+    mask = np.uint64(len(bits) * 8 - 1)
+
+    def known(key: np.ndarray) -> np.ndarray:
+        low = key & mask
+        return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(r: np.ndarray, key: np.ndarray) -> None:
+        hit = known(key)
+        if hit.any():
+            out.append((r[hit], key[hit]))
+
+    for more, moves in MOVES.items():
+        n = x.size - more
+        r = np.flatnonzero((n >= 0) & (n < len(sizes)) & sizes[np.clip(n, 0, len(sizes) - 1)])
+        n = n[r]
+        at: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for t, move in {m[k : k + 2] for m in moves for k in (0, 2)}:
+            lo, hi = t * n // PARTS + move, (t + 1) * n // PARTS + move
+            ok = np.flatnonzero((lo >= 0) & (hi <= x.size[r]))
+            h, there = np.zeros(len(r), np.uint64), np.zeros(len(r), bool)
+            h[ok] = x.span(r[ok], lo[ok], hi[ok])
+            there[ok] = known(_key(0, x.field[r[ok]], n[ok] * PARTS + t, h[ok]))
+            at[t, move] = h, there
+        for i, p, j, q in moves:
+            k = np.flatnonzero(at[i, p][1] & at[j, q][1])
+            if len(k):
+                keep(r[k], _key(1, x.field[r[k]], (n[k] * PARTS + i) * PARTS + j, at[i, p][0][k], at[j, q][0][k]))
+    ends: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[], []]
+    for a in GRID[GRID <= x.size.max()].tolist():
+        r = np.flatnonzero(x.size >= a)
+        for side, kind in ((0, 2), (1, 3)):
+            h = x.span(r, *((0, a) if side == 0 else (x.size[r] - a, x.size[r])))
+            there = known(_key(kind, x.field[r], a, h))
+            if there.any():
+                full, at_all = np.zeros(len(x.size), np.uint64), np.zeros(len(x.size), bool)
+                full[r], at_all[r] = h, there
+                ends[side].append((a, full, at_all))
+    for a, before, has in ends[0]:
+        for b, after, too in ends[1]:
+            k = np.flatnonzero(has & too & (x.size >= a + b))
+            if len(k):
+                keep(k, _key(4, x.field[k], (a << 31) + b, before[k], after[k]))
+    if not out:
+        return _rows(x, ids, np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    # a text may have one key by two moves
+    return _rows(x, ids, *map(np.concatenate, zip(*out))).drop_duplicates(["key", "id"])
+
+
+def near_pairs(texts: DataFrame) -> DataFrame:
+    """``id_eval, id_train``: pairs of texts that may differ by one word or two letters, all such pairs among them.
 
     ``texts(id, field, norm, side)`` holds each text once, ``side`` 1 for the
     evaluation side and 0 for training. Texts are taken without their spaces, so white space set or left out changes nothing but
-    where suffixes begin. Two texts that differ in at most one word or two letters share an unbroken span of
-    :func:`guaranteed` letters; suffixes meet by the hash of their first letters, as many as the largest level
-    within that; within a key they are sorted, and neighbours of the other side are taken as far as the common
-    prefix reaches the need. A bitmap of a fixed 8 MB over the evaluation side's keys drops other suffixes before their
-    rows are made. A key with over ``HOT`` training suffixes is dealt to several tasks, each with all of its evaluation suffixes.
-    The spans of a pair are merged: ``covered`` of the ``letters`` of the evaluation text lie in them.
+    where words are. Two slips leave two of ``PARTS`` equal parts of the evaluation text as they are, moved by two letters at most: pairs
+    of parts meet by their hash, if the letters of the texts are the same but for two. A changed word leaves what stands before and after some word of the evaluation text as the beginning and the end of the
+    other: both together meet by their hash, each shortened to a length of ``GRID``, so that the other side need not know the
+    words. A filter over the evaluation side's keys drops other keys of the training side before their rows are made, a pair of
+    parts only after each part is in it. A key with over ``HOT`` training texts is dealt to several tasks, each with all of its evaluation texts;
+    Spark's join holds no key in Python.
     """
     spark = texts.sparkSession
 
-    def make(levels, bitmap):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            bits = None if bitmap is None else bitmap.value
-            for pdf in batches:
-                for k in range(0, len(pdf), 4_000):
-                    yield _suffixes(pdf.iloc[k : k + 4_000].reset_index(drop=True), levels, bits)
-        return run
-
-    ev = materialize(texts.where("side = 1").select("id", "field", "norm").mapInPandas(make(None, None), _ROWS))
-    levels = {r["level"]: (r["a"], r["b"], r["w"]) for r in ev.groupBy("level").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.max("longest").alias("w")).collect()}
-    if not levels:
-        return spark.createDataFrame([], "id_eval long, id_train long, spans long, covered int, letters int")
-    bits = np.zeros(BITS // 8, np.uint8)
-    low = F.col("key").bitwiseAND(BITS - 1)
+    def evaluation(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, ids in _chunks(pdf):
+                yield _evaluation_keys(x, ids)
+
+    ev = materialize(texts.where("side = 1").select("id", "field", "norm").mapInPandas(evaluation, _ROWS))
+    lengths = [r["n"] for r in ev.where("far >= 0").select("n").distinct().collect()]
+    if not lengths:
+        return spark.createDataFrame([], "id_eval long, id_train long")
+    sizes = np.zeros(max(lengths) + 1, bool)
+    sizes[lengths] = True
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * ev.count()).bit_length()))
+    bits = np.zeros(n_bits // 8, np.uint8)
+    low = F.col("key").bitwiseAND(n_bits - 1)
     low = low + 1  # the bitmap functions count from 1
     maps = ev.select(F.bitmap_bucket_number(low).alias("bucket"), F.bitmap_bit_position(low).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map"))
     for r in maps.toLocalIterator():
         at = (r["bucket"] - 1) * 4096
         part = np.frombuffer(bytes(r["map"]), np.uint8)
         bits[at : at + 4096] |= part[: max(0, min(4096, len(bits) - at))]
-    bitmap = spark.sparkContext.broadcast(bits)
-    tr = materialize(texts.where("side = 0").select("id", "field", "norm").mapInPandas(make(levels, bitmap), _ROWS))
-    # hot keys: the training side is dealt by text, the evaluation side goes to every deal
-    hot = tr.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key", F.ceil(F.col("k") / HOT).cast("int").alias("deals"))
-    hot = materialize(hot)
-    tr = tr.join(hot, "key", "left").withColumn("deal", F.pmod(F.xxhash64("id"), F.coalesce("deals", F.lit(1))).cast("int"))
-    dealt = ev.join(hot, "key", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)))
-    cols = ["key", "deal", "id", "pos", "n", "longest", "need", "level", "text"]
-    both = dealt.select(*cols, F.lit(True).alias("side")).union(tr.select(*cols, F.lit(False).alias("side")))
-
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    shared = spark.sparkContext.broadcast((sizes, bits))
+
+    def training(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for pdf in batches:
-            held.append(pdf)
-            if sum(map(len, held)) >= 100_000:
-                rows = pd.concat(held, ignore_index=True)
-                open_ = (rows.key == rows.key.iloc[-1]) & (rows.deal == rows.deal.iloc[-1])  # the last key may go on in the next batch
-                held = [rows[open_]]
-                if not open_.all():
-                    done = rows[~open_]
-                    yield from (_scan(x) for _, x in done.groupby("deal", sort=False))
-        if held:
-            yield from (_scan(x) for _, x in pd.concat(held, ignore_index=True).groupby("deal", sort=False))
-
-    spans = both.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInPandas(sweep, "id_eval long, id_train long, pos int, size int")
-    lists = spans.groupBy("id_eval", "id_train").agg(F.count("*").alias("spans"), F.sort_array(F.collect_list(F.struct("pos", (F.col("pos") + F.col("size")).alias("stop")))).alias("at"))
-    merged = F.expr("aggregate(at, named_struct('n', 0, 'stop', 0), (s, x) -> named_struct('n', s.n + greatest(0, x.stop - greatest(s.stop, x.pos)), 'stop', greatest(s.stop, x.stop)), s -> s.n)")
-    sizes = ev.select(F.col("id").alias("id_eval"), F.col("n").alias("letters"), "longest").distinct()
-    pairs = lists.select("id_eval", "id_train", "spans", merged.alias("covered")).join(sizes, "id_eval")
-    # two slips, a lost space beside each, and the rest of their words are all that may be uncovered
-    return pairs.where("covered >= letters - 6 * longest - 2").drop("longest")
+            for x, ids in _chunks(pdf):
+                yield _training_keys(x, ids, *known)
+
+    tr = materialize(texts.where("side = 0").select("id", "field", "norm").mapInPandas(training, _ROWS).drop("far"))
+    # hot keys: the training side is dealt by text, the evaluation side goes to every deal
+    hot = materialize(tr.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key", F.ceil(F.col("k") / HOT).cast("int").alias("deals")))
+    t = tr.join(hot, "key", "left").select("key", F.pmod(F.xxhash64("id"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"), F.col("id").alias("id_train"), F.col("n").alias("m"), F.col("longest").alias("word"), F.col("odd").alias("other"))
+    e = ev.where("far >= 0").join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal"), F.col("id").alias("id_eval"), "n", "longest", "odd", "far")
+    met = e.join(t.hint("merge"), ["key", "deal"]).where("abs(m - n) <= greatest(longest, word, 2) and bit_count(odd ^ other) <= far").where("id_eval <> id_train")
+    pairs = materialize(met.select("id_eval", "id_train").distinct())
+    for done in (ev, tr, hot):
+        discard(done)
+    return pairs
 
 
 def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, eval_id: str = "row_id", train_id: str = "row_id", columns: tuple[str, ...] = ("src", "trg"), coverage: bool = False) -> DataFrame:
@@ -302,10 +360,10 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, eval_id: st
     texts = materialize(rows.groupBy("field", "norm").agg(F.max("side").alias("in_eval"), F.min("side").alias("no_train")).withColumn("id", F.xxhash64("field", "norm")))
     sides = texts.where("in_eval = 1").select("id", "field", "norm", F.lit(1).alias("side")).union(texts.where("no_train = 0").select("id", "field", "norm", F.lit(0).alias("side")))
     # written, so that the joins with the texts are planned with the size that the pairs have
-    spans = materialize(shared_spans(sides).where("id_eval <> id_train").select("id_eval", "id_train", (F.col("covered") / F.col("letters")).alias("coverage")))
+    pairs = near_pairs(sides)
     a = texts.select(F.col("id").alias("id_eval"), F.col("norm").alias("a"))
     b = texts.select(F.col("id").alias("id_train"), F.col("norm").alias("b"))
-    near = spans.join(a, "id_eval").join(b, "id_train").where(same_text("a", "b")).select("id_eval", "id_train", "coverage")
+    near = pairs.join(a, "id_eval").join(b, "id_train").where(same_text("a", "b")).select("id_eval", "id_train", (coverage_of("a", "b") if coverage else F.lit(1.0)).alias("coverage"))
     exact = texts.where("in_eval = 1 and no_train = 0").select(F.col("id").alias("id_eval"), F.col("id").alias("id_train"), F.lit(1.0).alias("coverage"))
     links = materialize(near.union(exact))
     e = rows.where("side = 1").select(F.col("row").cast(evaluation.schema[eval_id].dataType).alias("eval_row_id"), F.col("id").alias("id_eval"))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from loomtext.llm import leak, overlap
 
 E_ROW = "row_id long, src string, trg string, split string, origin string, norm string"
@@ -104,6 +106,18 @@ def test_short_texts_and_a_hot_prefix(spark, monkeypatch):
     assert want <= got and (2, 2) in got
 
 
+def test_texts_built_alike_are_not_paired_with_each_other(spark, monkeypatch):
+    """A stock beginning that all texts share makes no pair of each with each, whose number grows with both tables."""
+    rng = random.Random(21)
+    stock = "it has been said again and again by many old people that the "
+    tails = [sentence(rng, 6) for _ in range(600)]
+    ev = spark.createDataFrame([(i, stock + t, None, "test", "o", "") for i, t in enumerate(tails[:60])], E_ROW)
+    tr = spark.createDataFrame([(i, stock + t.replace("a", "o", 1), None, "train", "o", "") for i, t in enumerate(tails)], E_ROW)
+    assert {tuple(r) for r in overlap.cross_split_overlaps(ev, tr).collect()} == {(i, i) for i in range(60)}
+    monkeypatch.setattr(overlap, "same_text", lambda a, b: F.lit(True))
+    assert overlap.cross_split_overlaps(ev, tr).count() < 60 * 600 / 20
+
+
 def test_overlap_of_very_long_texts_and_empty_tables(spark):
     rng = random.Random(2)
     long = " ".join(sentence(rng) for _ in range(400))
