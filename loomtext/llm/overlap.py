@@ -71,11 +71,11 @@ def one_word_apart(a: str, b: str) -> bool:
     s = next((i for i in range(n) if x[-1 - i] != y[-1 - i]), n)
     # the change may slide where its letters are those beside it
     for u in range(p, -1, -1):
-        v = max(u, len(x) - s, u - more)
-        if u < p - 80 or v > len(x):
-            break
+        v = max(u, len(x) - s)
         if _within(at, len(x), u, v) and _within(bt, len(y), u, v + more):
             return True
+        if v > u:  # the stretch only grows from here
+            break
     return False
 
 

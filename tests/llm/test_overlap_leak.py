@@ -70,6 +70,8 @@ def test_one_word_apart_against_all_ways():
         if brute(a, b):
             hits += 1
             assert overlap.one_word_apart(a, b) and overlap.one_word_apart(b, a), (a, b)
+    # a word put in where the letters beside it repeat
+    assert overlap.one_word_apart("b" + " aa" * 150, "b " + "a" * 50 + " aa" * 150)
     assert hits > 1000 and not overlap.one_word_apart("one two three four", "one too three for")
 
 
@@ -118,6 +120,21 @@ def test_texts_built_alike_are_not_paired_with_each_other(spark, monkeypatch):
     assert overlap.cross_split_overlaps(ev, tr).count() < 60 * 600 / 20
 
 
+def test_changes_anywhere_in_texts_of_any_length(spark):
+    rng = random.Random(31)
+    texts = [sentence(rng, n)[:-1] for n in (14, 20, 40, 60, 120) for _ in range(8)]
+    rows = []
+    for i, t in enumerate(texts):
+        # two slips near each other, so that most of the text before the second lies in no long span
+        a, b = (len(t) * k // 10 for k in ((1, 4), (2, 5), (3, 6), (5, 9))[i % 4])
+        slips = t[:a] + "q" + t[a + 1 :][: b - a - 1] + "q" + t[b + 1 :]
+        rows += [(10 * i, t[:35] + "q" + t[36:80] + "q" + t[81:]), (10 * i + 1, slips), (10 * i + 2, ("q" + t[1:]).replace(" ", "")), (10 * i + 3, " ".join(slips.replace(" ", "")))]
+    ev = spark.createDataFrame([(i, t, None, "test", "o", "") for i, t in enumerate(texts)], E_ROW)
+    tr = spark.createDataFrame([(i, t, None, "train", "o", "") for i, t in rows], E_ROW)
+    want = {(j // 10, j) for j, y in rows if same(texts[j // 10], y)}
+    assert {tuple(r) for r in overlap.cross_split_overlaps(ev, tr).collect()} == want and len(want) == 160
+
+
 def test_overlap_of_very_long_texts_and_empty_tables(spark):
     rng = random.Random(2)
     long = " ".join(sentence(rng) for _ in range(400))
