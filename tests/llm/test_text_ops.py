@@ -263,6 +263,21 @@ def test_languages_of_rows_segments_and_lines(spark):
     assert langid.doubtful(langid.segments_of_both(r.limit(0), s.limit(0), lex, passages)[0]).count() == 0
 
 
+def test_language_models_see_every_seed(spark):
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(5_600)]
+    lex = spark.createDataFrame([("en", "house"), ("kg", " "), (None, "zzz")], "lexicon string, form string")
+    passages = spark.createDataFrame([(i, lang, f"q{x}q", "x") for i, x in enumerate(names) for lang in ("eng", "fr" if i % 2 else None)], "item_id int, lang string, text string, split string")
+    none = spark.createDataFrame([], "p string, fold int")
+    for m in langid.fit(none, lex, passages):
+        assert m.langs == ["en", "fr"]
+        keys = langid._packed([f"q{x}q" for x in names] + ["house"], 5)[0][4::5]  # the last five letters of each
+        assert (m.grams.find(langid._hashed(keys, 5)) >= 0).all()
+    want = langid.count_grams({"en": [f" q{x}q " for x in names] + [" house "], "fr": [f" q{x}q " for x in names[1::2]]})
+    got = langid.seed_counts(lex, passages)
+    for lang, (keys, n) in want.items():
+        assert dict(zip(*map(list, got[lang]))) == dict(zip(keys, n))
+
+
 def test_language_models_see_every_segment(spark):
     rng = random.Random(12)
     lex = spark.createDataFrame([(k, w) for k, v in TEXT.items() for w in v], "lexicon string, form string")
