@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import difflib
 import functools
+import math
 import re
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,12 @@ EMPTY_BLOCK = 20.0
 LANGS = ("pt", "fr", "en")
 PAGES = 64  # pages of a book that are scanned as one range
 RANGE = 4_096  # entries that are numbered as one range
+BLOCK = 2_048  # headwords of a block, each of which meets every block of the other reading
+BLOCKS = 16  # blocks of a reading; the blocks of larger ones are larger
+TILE = 1_024  # headwords whose letters are compared in one product of matrices
+CELLS = 1 << 22  # numbers in each factor of that product
+ROUNDS = 16  # rounds of close matching whose matches stay in files of their own
+STRETCH = 16  # letters of a headword between two looks at what they share
 
 
 # ---- fixed-width columns
@@ -283,43 +291,107 @@ def align_exact(primary: DataFrame, secondary: DataFrame, values: list[str], hea
     return j.select(*[F.when(F.col("other").isNotNull(), F.col(f"other.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in primary.columns], F.col("other").isNotNull().alias("matched"), "key", "nth")
 
 
+def _letter_counts(keys: list[str]) -> np.ndarray:
+    """How often each letter is in each key; a sign that is not a to z counts with one of those, which never lowers what two keys share."""
+    signs = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32) % 26
+    whose = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    return np.bincount(whose * 26 + signs, minlength=len(keys) * 26).reshape(len(keys), 26)
+
+
+def _steps(counts: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A row of ones and zeros for each row of counts, so that the product of two rows is the sum of the lesser counts, each up to ``most``."""
+    return np.concatenate([counts[:, c, None] > np.arange(most[c]) for c in range(26)], axis=1).astype(np.float32)
+
+
+def _tiles(lengths: np.ndarray, at: int, end: int):
+    """Ranges of ``TILE`` sorted keys between ``at`` and ``end``, of fewer where the keys are long."""
+    while at < end:
+        to = min(end, at + TILE)
+        while to - at > 1 and (to - at) * lengths[to - 1] > CELLS:
+            to = at + (to - at) // 2
+        yield at, to
+        at = to
+
+
+def _may_reach(x: list[str], y: list[str], cutoff: float):
+    """``i, j`` of the keys of ``x`` and ``y``, both sorted by length, that have letters enough in common for a ratio of ``cutoff``, in the order of ``i`` within a tile."""
+    n, m = np.array([len(k) for k in x]), np.array([len(k) for k in y])
+    for at, to in _tiles(n, 0, len(x)):
+        counts = _letter_counts(x[at:to])
+        most = counts.max(axis=0)
+        # 2 x common >= cutoff x (n + m), with the lengths as two more columns; the slack is above what single precision can lose
+        left = np.column_stack([_steps(counts, most), n[at:to] * (cutoff / 2), np.ones(to - at)]).astype(np.float32)
+        first, last = np.searchsorted(m * (2 - cutoff), n[at] * cutoff - 1e-6), np.searchsorted(m * cutoff, n[to - 1] * (2 - cutoff) + 1e-6, "right")
+        for start, stop in _tiles(m, first, last):
+            right = np.column_stack([_steps(_letter_counts(y[start:stop]), most), -np.ones(stop - start), m[start:stop] * (-cutoff / 2)]).astype(np.float32)
+            found = np.nonzero(left @ right.T >= -1e-3 - 1e-6 * (n[to - 1] + m[stop - 1]))
+            yield from zip((found[0] + at).tolist(), (found[1] + start).tolist())
+
+
+def _shares(places: dict[str, int], n: int, y: str, least: int) -> bool:
+    """Whether ``y`` and a key of ``n`` letters, whose ``places`` are bits, have a common subsequence of ``least`` letters.
+
+    After some letters of ``y`` all but ``len(y) - least`` of them must have found a partner, at most ``n - least`` places
+    further on; most pairs end there.
+    """
+    full = open_ = (1 << n) - 1
+    for at in range(0, len(y), STRETCH):
+        for ch in y[at : at + STRETCH]:
+            met = open_ & places.get(ch, 0)
+            open_ = ((open_ + met) | (open_ - met)) & full
+        done = min(at + STRETCH, len(y))
+        reach = max(0, min(n, done + n - least))
+        if reach - (open_ & ((1 << reach) - 1)).bit_count() < done - len(y) + least:
+            return False
+    return True
+
+
 def _close(cutoff: float):
-    """A function of two columns of keys: their ``difflib`` ratio, or null where the letters in common already show that it is less than ``cutoff``."""
+    """A function of a block of left and one of right keys: the pairs whose ``difflib`` ratio reaches ``cutoff``.
 
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        names, places = np.unique(np.concatenate([a.to_numpy(object), b.to_numpy(object)]).astype(str), return_inverse=True)
-        letters = np.array([np.bincount(np.frombuffer(x.encode(), np.uint8) - 97, minlength=26)[:26] for x in names], np.int32).reshape(len(names), 26)
-        left, right = letters[places[: len(a)]], letters[places[len(a) :]]
-        may = 2 * np.minimum(left, right).sum(axis=1) >= cutoff * (left.sum(axis=1) + right.sum(axis=1)) - 1e-9
-        out, matcher = np.full(len(a), np.nan), difflib.SequenceMatcher()
-        for k in np.flatnonzero(may):
-            matcher.set_seq2(a.iloc[k])
-            matcher.set_seq1(b.iloc[k])
-            out[k] = matcher.ratio()
-        return pd.Series(out)
+    Of every pair the letters in common are counted, then the longest common subsequence, neither of which the
+    matched letters of ``difflib`` can exceed; the ratio itself is taken of what is left.
+    """
 
-    ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(ratio, T.DoubleType())
+    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = (sorted(t.column(c).to_pylist(), key=len) for t, c in ((left, "key"), (right, "other")))
+        out, matcher, last = [], difflib.SequenceMatcher(), None
+        for i, j in _may_reach(x, y, cutoff):
+            a, b = x[i], y[j]
+            if i != last:
+                last, places = i, defaultdict(int)
+                for k, ch in enumerate(a):
+                    places[ch] |= 1 << k
+                matcher.set_seq2(a)
+            if not _shares(places, len(a), b, math.ceil(cutoff / 2 * (len(a) + len(b)) - 1e-9)):
+                continue
+            matcher.set_seq1(b)
+            if (ratio := matcher.ratio()) >= cutoff:
+                out.append((a, b, ratio))
+        return pa.table({"key": pa.array([o[0] for o in out], pa.string()), "other": pa.array([o[1] for o in out], pa.string()), "ratio": pa.array([o[2] for o in out], pa.float64())})
+
+    return pairs
 
 
 def close_keys(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """``key, other, ratio`` of every two keys of the two tables whose ``difflib`` ratio reaches ``cutoff``.
 
-    Two such keys differ in at most d = (1 - cutoff) x (both lengths) letters put in or
-    taken out, so of any d + 1 pieces of the one, one stands unchanged in the other, moved
-    by at most d. The left keys send their pieces, the right ones all their
-    substrings of such lengths; what meets is checked by the letters in common and then by the ratio itself.
+    Two keys of a language share most short pieces with some other, so what meets by pieces grows as fast as the
+    pairs do, and costs more for each. The keys are dealt to blocks instead, and every block of the left table meets
+    every block of the right one in a task. Nothing is broadcast, as the planner can't tell the size of what is exploded.
     """
-    most = F.floor((1 - cutoff) * (F.col("n") + F.floor(F.col("n") * (2 - cutoff) / cutoff)) + 1e-9).cast("int")
-    a = left.select("key").distinct().withColumn("n", F.length("key")).withColumn("d", most)
-    a = a.withColumn("k", F.least(F.col("d") + 1, F.col("n")))
-    pieces = a.select("key", "n", "d", F.explode(F.expr("transform(sequence(0, k - 1), i -> struct(cast(floor(i * n / k) as int) as at, cast(floor((i + 1) * n / k) as int) - cast(floor(i * n / k) as int) as size))")).alias("p"))
-    pieces = pieces.select("key", "n", "d", F.col("p.at").alias("at"), F.expr("substring(key, p.at + 1, p.size)").alias("piece"))
-    sizes = sorted(r[0] for r in pieces.select(F.length("piece")).distinct().collect())
-    b = right.select(F.col("key").alias("other")).distinct().withColumn("m", F.length("other"))
-    spans = b.select("other", "m", F.explode(F.array(*[F.lit(x) for x in sizes] or [F.lit(1)])).alias("size")).where("size <= m").select("other", "m", F.explode(F.expr("transform(sequence(0, m - size), i -> struct(i as pos, substring(other, i + 1, size) as piece))")).alias("s")).select("other", "m", "s.*")
-    met = pieces.join(spans, "piece").where("abs(at - pos) <= d").where(F.least("n", "m") * 2 >= cutoff * (F.col("n") + F.col("m")) - 1e-9).select("key", "other").distinct()
-    return met.withColumn("ratio", _close(cutoff)("key", "other")).where(F.col("ratio") >= cutoff)
+    a, b = left.select("key").distinct(), right.select(F.col("key").alias("other")).distinct()
+    rows, cols = (min(BLOCKS, max(1, -(-t.count() // BLOCK))) for t in (a, b))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.select(block("key", rows).alias("i"), every(cols).alias("j"), "key").repartition(rows * cols, "i", "j")
+    b = b.select(every(rows).alias("i"), block("other", cols).alias("j"), "other").repartition(rows * cols, "i", "j")
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_close(cutoff), "key string, other string, ratio double")
+
+
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that is never a broadcast: files of headwords that recur are small on disk, but not in the driver's memory."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def align_fuzzy(primary: DataFrame, secondary: DataFrame, values: list[str], head: str = "kikongo", order: str = "ordinal", cutoff: float = 0.9) -> DataFrame:
@@ -334,28 +406,33 @@ def align_fuzzy(primary: DataFrame, secondary: DataFrame, values: list[str], hea
     exact = materialize(align_exact(primary, secondary, values, head, order))
     w = Window.partitionBy("key").orderBy(order)
     used = exact.where("matched").select("key", "nth")
-    spare = secondary.withColumn("key", align_key(F.col(head))).withColumn("nth", F.row_number().over(w)).join(used, ["key", "nth"], "left_anti").where("key <> ''")
+    spare = _joined(secondary.withColumn("key", align_key(F.col(head))).withColumn("nth", F.row_number().over(w)), used, ["key", "nth"], "left_anti").where("key <> ''")
     spare = materialize(spare.select("key", order, *values).withColumn("nth", F.row_number().over(w)))
     rest = exact.where("not matched and key <> ''").select("key", order)
     near = materialize(close_keys(rest, spare, cutoff))
-    open_ = materialize(rest.join(near, "key").select(F.col(order).alias("o"), "other", "ratio"))
-    room = materialize(spare.groupBy(F.col("key").alias("other")).agg(F.count("*").alias("room")).join(near.select("other").distinct(), "other"))
+    open_ = materialize(_joined(rest, near, "key").select(F.col(order).alias("o"), "other", "ratio"))
+    room = materialize(_joined(spare.groupBy(F.col("key").alias("other")).agg(F.count("*").alias("room")), near.select("other").distinct(), "other"))
     taken = []
     while True:
-        wants = open_.join(room, "other").withColumn("place", F.row_number().over(Window.partitionBy("other").orderBy("o")))
+        wants = _joined(open_, room, "other").withColumn("place", F.row_number().over(Window.partitionBy("other").orderBy("o")))
         best = wants.withColumn("r", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("ratio"), F.desc("other")))).where("r = 1 and place <= room")
         got = materialize(best.select("o", "other"))
         if got.isEmpty():
             break
         taken.append(got)
-        left = materialize(open_.join(got.select("o"), "o", "left_anti"))
-        more = materialize(room.join(got.groupBy("other").agg(F.count("*").alias("gone")), "other", "left").select("other", (F.col("room") - F.coalesce("gone", F.lit(0))).alias("room")).where("room > 0"))
+        left = materialize(_joined(open_, got.select("o"), "o", "left_anti"))
+        more = materialize(_joined(room, got.groupBy("other").agg(F.count("*").alias("gone")), "other", "left").select("other", (F.col("room") - F.coalesce("gone", F.lit(0))).alias("room")).where("room > 0"))
         discard(open_)
         discard(room)
         open_, room = left, more
+        if len(taken) >= ROUNDS:  # the plan of what is returned stays small, whatever the number of rounds
+            one = materialize(functools.reduce(DataFrame.union, taken))
+            for x in taken:
+                discard(x)
+            taken = [one]
     if not taken:
         return exact.select(*primary.columns, "matched")
     hits = functools.reduce(DataFrame.union, taken).withColumn("nth", F.row_number().over(Window.partitionBy("other").orderBy("o")))
-    got = hits.join(spare.select(F.col("key").alias("other"), "nth", *[F.col(v).alias(f"_{v}") for v in values]), ["other", "nth"]).select(F.col("o").alias("_o"), *[f"_{v}" for v in values])
-    j = exact.join(got, exact[order] == got["_o"], "left")
+    got = _joined(hits, spare.select(F.col("key").alias("other"), "nth", *[F.col(v).alias(f"_{v}") for v in values]), ["other", "nth"]).select(F.col("o").alias("_o"), *[f"_{v}" for v in values])
+    j = _joined(exact, got, exact[order] == got["_o"], "left")
     return j.select(*[F.when(F.col("_o").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in primary.columns], (F.col("matched") | F.col("_o").isNotNull()).alias("matched"))

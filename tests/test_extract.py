@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import align_key
 from loomtext.operators import audit, extract
 
 
@@ -150,3 +151,47 @@ def test_close_matching_equals_going_through_the_rows(spark):
         best = difflib.get_close_matches(k, sorted(x for x in waiting if waiting[x]), n=1, cutoff=0.9)
         want[o] = waiting[best[0]].popleft() if best else v
     assert got == want and sum(v.startswith("b") for v in got.values()) > 40
+
+
+def test_close_keys_equal_trying_every_pair(monkeypatch):
+    import difflib
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(7)
+    base = ["".join(r.choice("abdegklmn") for _ in range(r.choice([1, 2, 5, 10, 30, 80, 250]))) for _ in range(30)]
+
+    def spoiled(x):
+        for _ in range(r.randint(0, max(1, len(x) // 8))):
+            p, how = r.randrange(len(x) + 1), r.randrange(3)
+            x = x[:p] + r.choice("abdegklmn") * (how < 2) + x[p + (how > 0) :]
+        return x or "a"
+
+    a, b = (sorted({spoiled(r.choice(base)) for _ in range(150)}) for _ in range(2))
+    want = {(x, y, q) for x in a for y in b for q in [difflib.SequenceMatcher(None, y, x).ratio()] if q >= 0.9}
+    assert len(want) > 50
+    for tile, cells in ((extract.TILE, extract.CELLS), (7, extract.CELLS), (64, 500)):
+        monkeypatch.setattr(extract, "TILE", tile)
+        monkeypatch.setattr(extract, "CELLS", cells)
+        got = extract._close(0.9)(pa.table({"key": a}), pa.table({"other": b})).to_pylist()
+        assert len(got) == len(want) and {(x["key"], x["other"], x["ratio"]) for x in got} == want
+        assert extract._close(0.9)(pa.table({"key": a}), pa.table({"other": pa.array([], pa.string())})).num_rows == 0
+
+
+def test_close_matching_broadcasts_nothing(spark, monkeypatch):
+    # files so small that the planner would broadcast them, and all that is exploded from them
+    a = rec(spark, [(i, f"MWANA KE LOMBA MENGI {x}{x}", f"a{i}") for i, x in enumerate("ABCD")])
+    b = rec(spark, [(i, f"MWANA KE LOMBA MENGI {x}", f"b{i}") for i, x in enumerate("HIJK")])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    keys = [extract.materialize(x.select(align_key(F.col("kikongo")).alias("key"))) for x in (a, b)]
+    assert "Broadcast" not in plan(extract.close_keys(*keys, 0.9))
+    want = {(f"mwanakelombamengi{x}{x}", f"mwanakelombamengi{y}") for x in "abcd" for y in "hijk"}
+    assert {(r.key, r.other) for r in extract.close_keys(*keys, 0.9).collect()} == want
+    monkeypatch.setattr(extract, "BLOCK", 1)
+    monkeypatch.setattr(extract, "BLOCKS", 3)
+    assert {(r.key, r.other) for r in extract.close_keys(*keys, 0.9).collect()} == want
+    monkeypatch.setattr(extract, "ROUNDS", 2)
+    got = extract.align_fuzzy(a, b, ["pt"])
+    # equal ratios: the larger headword first, and each row waits for those before it
+    assert "Broadcast" not in plan(got) and {r.ordinal: r.pt for r in got.collect()} == {i: f"b{3 - i}" for i in range(4)}
